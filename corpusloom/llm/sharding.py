@@ -95,27 +95,20 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
 def _step(x: Column, n: int, seed: int, rounds: int) -> Column:
     """One pass of the Feistel network over a column of numbers."""
     lo, hi = halves(n)
-    state = F.struct(F.shiftright(x, hi).alias("l"), x.bitwiseAND(F.lit((1 << hi) - 1)).alias("r"))
-
-    def turn(a: int, b: int, mask: int):
-        return lambda s: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(_scatter(s["r"], a, b).bitwiseAND(F.lit(mask))).alias("r"))
-
-    wl, wr = lo, hi
+    turns, wl, wr = [], lo, hi
     for a, b in keys(seed, rounds):
-        # a one-element transform binds the state once, so that the expression doesn't double at each round
-        state = F.transform(F.array(state), turn(a, b, (1 << wl) - 1))[0]
+        turns.append(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit((1 << wl) - 1).cast("long").alias("mask")))
         wl, wr = wr, wl
-    return F.transform(F.array(state), lambda s: F.shiftleft(s["l"], wr).bitwiseOR(s["r"]))[0]
+    start = F.struct(F.shiftright(x, hi).alias("l"), x.bitwiseAND(F.lit((1 << hi) - 1).cast("long")).alias("r"))
+    turn = lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(_scatter(s["r"], k["a"], k["b"]).bitwiseAND(k["mask"])).alias("r"))
+    return F.aggregate(F.array(*turns), start, turn, lambda s: F.shiftleft(s["l"], wr).bitwiseOR(s["r"]))
 
 
 def permuted(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Column:
     """`permute` as a column expression: walk until inside, for STEPS steps at most, else fail."""
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        _step(x, n, seed, rounds),
-        lambda acc, _: F.when(acc < n, acc).otherwise(_step(acc, n, seed, rounds)),
-    )
-    return F.transform(F.array(walked), lambda p: F.when(p < n, p).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))[0]
+    walk = lambda acc, i: F.when((i > 0) & (acc < n), acc).otherwise(_step(acc, n, seed, rounds))
+    checked = lambda p: F.when(p < n, p).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), x.cast("long"), walk, checked)
 
 
 def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
