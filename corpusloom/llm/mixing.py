@@ -84,7 +84,7 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = S
         rows = rows.join(F.broadcast(plan), "_source")
     else:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        rows = rows.join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["_source", "_salt"]).drop("_salt")
+        rows = rows.join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_source", "_salt"]).drop("_salt")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = rows.withColumn("_n", copies(key, F.col("_parts"), F.col("_cdf"), seed)).filter("_n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_source", "_parts", "_cdf", "_n")

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, quality, secrets, sharding, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": tokens.op1_token_counts,
+        "op3_url_rules": urls.op3_url_rules,
+        "op4_secret_spans": secrets.op4_secret_spans,
         "op5_poisson_mix": mixing.op5_poisson_mix,
         "op9_feistel_shards": sharding.op9_feistel_shards,
+        "op10_repetition_coverage": quality.op10_repetition_coverage,
     }
 
 
