@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, sharding, tokens, urls
+from . import jaccard, mixing, quality, secrets, sharding, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_url_rules": urls.op3_url_rules,
         "op4_secret_spans": secrets.op4_secret_spans,
         "op5_poisson_mix": mixing.op5_poisson_mix,
+        "op6_count_vector_join": jaccard.op6_count_vector_join,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_repetition_coverage": quality.op10_repetition_coverage,
     }
