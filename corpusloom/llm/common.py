@@ -7,6 +7,7 @@ they are only used where a collision is either checked afterwards or has odds be
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, for a table that several steps read."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="loom-shared-")
+    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, and grown by doubling."""
     have = _POWERS.get(base)

@@ -42,3 +42,25 @@ def jaccard_components(rows: list[tuple], k: int, num: int, den: int) -> list[tu
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+def suffix_dedup(rows: list[tuple], span: int = 200) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows."""
+    import hashlib
+    from collections import Counter
+
+    data = [(d, (t or "").encode()) for d, t in rows]
+    times = Counter(b[i : i + span] for _, b in data for i in range(len(b) - span + 1))
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        last = 0
+        for i in range(len(b) - span + 1):
+            if times[b[i : i + span]] > 1:
+                for x in range(max(i, last), i + span):
+                    gone[x] = 1
+                last = i + span
+        spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
