@@ -11,7 +11,8 @@ their first n - ceil(t * n) + 1 tokens in any fixed order of tokens. The order h
 many documents last, so that blocks stay small. Every block has a tree of its own; every pair of linked sets meets in at
 least one block.
 
-A block does not list its pairs. First it emits stars over pairs that pass the bound; those are verified on the sets
+Within a token's block, sets without another of fitting size are dropped before points are fetched, and the sets
+themselves are only gathered for pairs that pass the bound. A block does not list its pairs. First it emits stars over pairs that pass the bound; those are verified on the sets
 themselves, and components of what is linked are formed. A second pass emits pairs that pass the bound, are not in a star
 and whose ends are in different components: only those can still change a component. Equal sets are one set throughout.
 
@@ -87,11 +88,21 @@ def needed(a, b, num: int, den: int):
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's tokens in groups by their leading bits; 16 groups, or more for larger sets, up to 1,024."""
-    bits = min(10, max(4, (len(s) // 2).bit_length()))
+    """Counts of a set's tokens in groups by their leading bits; 16 groups, or more for larger sets, up to 4,096."""
+    bits = min(12, max(4, (len(s) // 4).bit_length()))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes: the width of a count, then the counts."""
+    width = 1 if p.max(initial=0) < 256 else 4
+    return bytes([width]) + p.astype(f"u{width}").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"u{b[0]}", offset=1).astype(np.int64)
+
+
 def fold(points: list[np.ndarray], groups: int) -> np.ndarray:
     """Points as rows of so many coordinates; finer ones are summed over neighbouring groups."""
     return np.stack([p.reshape(groups, -1).sum(axis=1) for p in points])
@@ -158,19 +169,21 @@ def _tree(points: list[np.ndarray]):
 
 
 def stars(points: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
-    """Stars over pairs that pass the bound, each row in one at most as a ray, and whether other pairs pass too."""
+    """Stars over pairs that pass the bound, and whether other pairs pass too. Each row of such a pair is in a star."""
     tree, taken, out, rest = _tree(points), np.zeros(len(points), dtype=bool), [], False
     for i in range(len(points)):
         if taken[i]:
             continue
         taken[i] = True
         near = tree.reach(i, num, den)
-        rest |= bool(taken[near].sum() > 1)
-        near = near[~taken[near]]
+        near, before = near[~taken[near]], near[taken[near] & (near != i)]
+        rest |= len(before) > 0
+        if len(before) and not len(near):
+            out.append((int(before[0]), i))
         taken[near] = True
         out += [(i, int(j)) for j in near]
         rest |= len(near) > 1
-    return out, rest
+    return [(min(p), max(p)) for p in out], rest
 
 
 def across(points: list[np.ndarray], labels: list, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -205,9 +218,10 @@ def _signed(k: int, heavy, num: int, den: int):
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in first])]).astype(np.int32)
                 tokens = np.concatenate(first).view(np.int64) if first else np.zeros(0, dtype=np.int64)
                 ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
+                points = pa.array([packed(point(s)) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))],
-                    ["doc_id", "n", "sid", "tokens"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids, points, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))],
+                    ["doc_id", "n", "sid", "point", "tokens"],
                 )
 
     return sign
@@ -219,10 +233,9 @@ def _sets(k: int):
             for part in slices(batch, "text"):
                 found = shingle_sets(part.column("text"), k)
                 ids = pa.array([set_id(s) if len(s) else None for s in found], pa.binary())
-                points = pa.array([point(s).astype(np.uint32).tobytes() for s in found], pa.binary())
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, points, tokens], ["sid", "point", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids, tokens], ["sid", "tokens"])
 
     return sets
 
@@ -233,7 +246,7 @@ def _blocks(num: int, den: int, labelled: bool):
     def close(token: int, rows: list[tuple], out: list[tuple]) -> None:
         if len(rows) < 2:
             return
-        points = [np.frombuffer(r[1], dtype=np.uint32).astype(np.int64) for r in rows]
+        points = [unpacked(r[1]) for r in rows]
         if labelled:
             out += [(rows[i][0], rows[j][0], None) for i, j in across(points, [r[2] for r in rows], num, den)]
             return
@@ -285,25 +298,27 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     tokens = np.sort(np.array([r["token"] for r in counted.filter(F.col("n") >= least).select("token").collect()], dtype=np.int64).view(np.uint64))
     heavy = spark.sparkContext.broadcast(tokens)
 
-    signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, n long, sid binary, tokens array<long>"))
-    unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
-    posted = unique.select("sid", F.explode("tokens").alias("token"))
-    shared = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    blocks = checkpoint(posted.withColumn("_m", shared).filter("_m > 1").select("token", "sid"))
-
-    wanted = blocks.select("sid").distinct().join(signed.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid").select("doc_id").distinct()
-    wanted = checkpoint(wanted)
-    few = wanted.count() <= BROADCAST_IDS
-    again = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    sets = again.select("text").mapInArrow(_sets(k), "sid binary, point binary, tokens array<long>")
-    sets = checkpoint(sets.filter("sid IS NOT NULL").dropDuplicates(["sid"]))
+    signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, n long, sid binary, point binary, tokens array<long>"))
+    unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("point").alias("point"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    points = unique.select("sid", "point")
+    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    posted = unique.select("sid", "n", F.explode("tokens").alias("token"))
+    posted = posted.withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
+    fits = (F.col("_less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("_more") * num)
+    blocks = checkpoint(posted.filter(F.coalesce(fits, F.lit(False))).select("token", "sid"))
 
     near = lambda rows, labelled: (
         rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_blocks(num, den, labelled), "a binary, b binary, token long")
     )
-    points = sets.select("sid", "point")
     found = checkpoint(near(blocks.join(points, "sid").select("token", "sid", "point"), False).distinct())
     tried = found.filter("token IS NULL").select("a", "b")
+
+    ends = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = checkpoint(ends.join(unique.select("sid", "least"), "sid").select(F.col("least").alias("doc_id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    again = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    sets = again.select("text").mapInArrow(_sets(k), "sid binary, tokens array<long>")
+    sets = checkpoint(sets.filter("sid IS NOT NULL").dropDuplicates(["sid"]))
     links = checkpoint(_verified(tried, sets, num, den))
     label = components(links, "a", "b")
 
