@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, secrets, sharding, suffixes, tokens, urls
+from . import jaccard, mixing, neighbours, quality, secrets, sharding, suffixes, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_secret_spans": secrets.op4_secret_spans,
         "op5_poisson_mix": mixing.op5_poisson_mix,
         "op6_count_vector_join": jaccard.op6_count_vector_join,
+        "op7_learned_partitions": neighbours.op7_learned_partitions,
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_feistel_shards": sharding.op9_feistel_shards,
         "op10_repetition_coverage": quality.op10_repetition_coverage,
