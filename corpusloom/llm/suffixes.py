@@ -288,10 +288,11 @@ def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     places = at.groupBy("h1").agg(F.collect_set(F.struct("at", (F.col("n") > block).alias("wide"))).alias("places"))
     rows = docs.join(places, "h1").select("h1", "h2", "text", "places").mapInArrow(_contexts, "h1 long, h2 long, at long, wide boolean, left binary, right binary")
     path = shared_folder(spark)
-    rows.select("*", F.xxhash64("left", "right").alias("c1"), F.xxhash64("right", F.lit(1), "left").alias("c2")).write.parquet(path)
+    rows.select("*", F.xxhash64("left", "right").alias("c1"), F.xxhash64("right", F.lit(1), "left").alias("c2")).write.option("compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
 
-    merged = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("left").alias("left"), F.first("right").alias("right"), F.max("wide").alias("wide"))
+    # wide belongs to the leading bytes, so equal contexts agree on it; as a key it is filtered on before the shuffle
+    merged = rows.groupBy("c1", "c2", "wide").agg(F.count(F.lit(1)).alias("times"), F.first("left").alias("left"), F.first("right").alias("right"))
     narrow = merged.filter("NOT wide").withColumn("start", F.substring("right", 1, LEAD))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = narrow.repartitionByRange(tasks, "start").sortWithinPartitions("start").select("c1", "c2", "times", "left", "right", "start")
