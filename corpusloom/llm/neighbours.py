@@ -32,7 +32,7 @@ TOP, EVERY = 20, 20
 #: Fitting: rows of the sample, neighbours in its graph, parts, hidden units, passes, recall aimed at.
 FIT_ROWS, GRAPH, PARTS, HIDDEN, PASSES, GOAL = 8_192, 10, 16, 64, 60, 0.95
 #: Rows of a block that is searched by one call, and queries that meet a block at once.
-BLOCK_ROWS, QUERY_ROWS = 1_024, 4_096
+BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
 
 @dataclass
