@@ -41,8 +41,10 @@ HEAVY_ALL = 0.001
 #: Blocks up to this size compare all points at once; larger ones search their tree.
 FLAT = 48
 LEAF = 16
-#: Candidate ids that are broadcast to filter the documents again; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Documents in stars whose list is broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_IDS = 100_000
+#: Rays of a star that are checked in one group.
+RAYS = 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -88,8 +90,8 @@ def needed(a, b, num: int, den: int):
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's tokens in groups by their leading bits; 16 groups, or more for larger sets, up to 4,096."""
-    bits = min(12, max(4, (len(s) // 4).bit_length()))
+    """Counts of a set's tokens in groups by their leading bits; 64 groups, or more for larger sets, up to 4,096."""
+    bits = min(12, max(6, (len(s) // 16).bit_length()))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
@@ -227,17 +229,55 @@ def _signed(k: int, heavy, num: int, den: int):
     return sign
 
 
-def _sets(k: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cast(k: int):
+    """For each document the stars that its set is in: a row with the set for each. A set's tokens go as 48 bits each."""
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = shingle_sets(part.column("text"), k)
-                ids = pa.array([set_id(s) if len(s) else None for s in found], pa.binary())
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, tokens], ["sid", "tokens"])
+                out = []
+                for s, roles in zip(shingle_sets(part.column("text"), k), part.column("roles").to_pylist()):
+                    own = set_id(s)
+                    tokens = np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    out += [(r["center"], r["salt"], r["ray"], own, tokens) for r in roles if r["sid"] == own]
+                    if sum(len(o[4]) for o in out[-64:]) > 1 << 22 or len(out) > 4096:
+                        yield _cast_rows(out)
+                        out = []
+                if out:
+                    yield _cast_rows(out)
+
+    return cast
+
+
+def _cast_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["center", "salt", "ray", "sid", "tokens"])
+
+
+def _checked(num: int, den: int):
+    """Over partitions ordered so that a star's center comes before its rays: the rays that reach the threshold."""
 
-    return sets
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, middle = None, np.zeros(0, dtype=np.uint64)
+
+        def tokens(raw: bytes) -> np.ndarray:
+            wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+            return wide.view("<u8").ravel()
+
+        for batch in batches:
+            links = []
+            for center, salt, ray, sid, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if not ray:
+                    star, middle = (center, salt), tokens(raw)
+                elif star == (center, salt):
+                    other = tokens(raw)
+                    shared = len(np.intersect1d(middle, other, assume_unique=True))
+                    if den * shared >= num * (len(middle) + len(other) - shared):
+                        links.append((center, sid))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
+
+    return check
 
 
 def _blocks(num: int, den: int, labelled: bool):
@@ -278,13 +318,21 @@ def _blocks(num: int, den: int, labelled: bool):
     return blocks
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that reach the threshold: rays bring their set to the middle of their star."""
-    rays = pairs.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("_b")), "b")
-    both = rays.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("_a")), "a")
-    shared = F.size(F.array_intersect("_a", "_b")).cast("long")
-    both = both.select("a", "b", shared.alias("shared"), (F.size("_a") + F.size("_b")).cast("long").alias("total"))
-    return both.filter(den * F.col("shared") >= num * (F.col("total") - F.col("shared"))).select("a", "b")
+def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that reach the threshold. Sets are made again from the texts and travel once, to the middles of stars.
+
+    A star of many rays is dealt over salts, each of which gets the middle. ids: sid and a document that has it.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
+    rays = pairs.join(salts, "a").select(F.col("b").alias("sid"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"))
+    middles = salts.select(F.col("a").alias("sid"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ray"))
+    roles = rays.unionByName(middles).join(ids, "sid").groupBy("least").agg(F.collect_list(F.struct("sid", "center", "salt", "ray")).alias("roles"))
+    roles = checkpoint(roles)
+    few = roles.count() <= BROADCAST_IDS
+    both = docs.join(F.broadcast(roles) if few else roles, docs["doc_id"].eqNullSafe(roles["least"])).select("text", "roles")
+    sets = both.mapInArrow(_cast(k), "center binary, salt long, ray boolean, sid binary, tokens binary")
+    sets = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", "ray")
+    return checkpoint(sets.mapInArrow(_checked(num, den), "a binary, b binary").distinct())
 
 
 def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -313,13 +361,8 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     found = checkpoint(near(blocks.join(points, "sid").select("token", "sid", "point"), False).distinct())
     tried = found.filter("token IS NULL").select("a", "b")
 
-    ends = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = checkpoint(ends.join(unique.select("sid", "least"), "sid").select(F.col("least").alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    again = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    sets = again.select("text").mapInArrow(_sets(k), "sid binary, tokens array<long>")
-    sets = checkpoint(sets.filter("sid IS NOT NULL").dropDuplicates(["sid"]))
-    links = checkpoint(_verified(tried, sets, num, den))
+    ids = unique.select("sid", "least")
+    links = _verified(tried, docs, ids, k, num, den)
     label = components(links, "a", "b")
 
     open_tokens = found.filter("token IS NOT NULL").select("token")
@@ -328,7 +371,7 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     ends = Window.partitionBy("token")
     rows = rows.withColumn("_lo", F.min("label").over(ends)).withColumn("_hi", F.max("label").over(ends)).filter("_lo <> _hi")
     more = near(rows.join(points, "sid").select("token", "sid", "point", "label"), True).filter("a IS NOT NULL").select("a", "b").distinct()
-    more = checkpoint(_verified(more.join(tried, ["a", "b"], "left_anti"), sets, num, den))
+    more = _verified(checkpoint(more.join(tried, ["a", "b"], "left_anti")), docs, ids, k, num, den)
     if more.take(1):
         label = components(links.unionByName(more), "a", "b")
 
