@@ -1,5 +1,69 @@
-"""placeholder until the stages exist"""
+"""A corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing, tokenisation.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import jaccard, mixing, pieces, quality, secrets
+from corpusloom.llm.common import table
+
+#: Near duplicates: shingles of so many words, and least similarity in percent.
+WORDS, SIMILARITY = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return quality.judge(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least id.
+
+    Rows without an id get one from their text, above all others; of rows with one id and the same or a linked text one
+    stays.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.withColumn("_key", own)
+    groups = jaccard.clusters(keyed.select(F.col("_key").alias("doc_id"), "text"), WORDS, SIMILARITY, 100)
+    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; documents stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out by Poisson counts towards the target shares of their sources, and shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of each document, as piece ids with inclusion scores."""
+    return pieces.encode(docs, pieces.load())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", tokenise),
+]
+
+#: SQL cannot express sampled segmentations; tests hold each stage against a plain restatement.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

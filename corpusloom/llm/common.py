@@ -6,6 +6,7 @@ they are only used where a collision is either checked afterwards or has odds be
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more.
+
+    It works when the driver collects garbage, which small driver heaps with little to do may not for a long time; a
+    chain of steps over large tables would hold the files of all of them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

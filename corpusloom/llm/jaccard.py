@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, buffers, checkpoint, mix, slices, table
+from .common import LOWER, Words, buffers, checkpoint, mix, release, slices, table
 from .graph import components
 
 #: A token in this share of the documents of a batch, and in HEAVY_LEAST of them, goes to the end of the order.
@@ -355,14 +355,19 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     fits = (F.col("_less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("_more") * num)
     blocks = checkpoint(posted.filter(F.coalesce(fits, F.lit(False))).select("token", "sid"))
 
+    del posted
+    release(spark)
+
     near = lambda rows, labelled: (
         rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_blocks(num, den, labelled), "a binary, b binary, token long")
     )
     found = checkpoint(near(blocks.join(points, "sid").select("token", "sid", "point"), False).distinct())
+    release(spark)
     tried = found.filter("token IS NULL").select("a", "b")
 
     ids = unique.select("sid", "least")
     links = _verified(tried, docs, ids, k, num, den)
+    release(spark)
     label = components(links, "a", "b")
 
     open_tokens = found.filter("token IS NOT NULL").select("token")

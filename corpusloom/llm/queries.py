@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, neighbours, quality, secrets, sharding, suffixes, tokens, urls
+from . import jaccard, mixing, neighbours, pieces, quality, secrets, sharding, suffixes, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": tokens.op1_token_counts,
+        "op2_gumbel_pieces": pieces.op2_gumbel_pieces,
         "op3_url_rules": urls.op3_url_rules,
         "op4_secret_spans": secrets.op4_secret_spans,
         "op5_poisson_mix": mixing.op5_poisson_mix,

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, buffers, checkpoint, mix, remove, shared_folder, slices, table
+from .common import _BYTE, buffers, checkpoint, mix, release, remove, shared_folder, slices, table
 
 SPAN, LEAD = 200, 48
 BACK = SPAN - LEAD
@@ -289,6 +289,8 @@ def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = docs.join(places, "h1").select("h1", "h2", "text", "places").mapInArrow(_contexts, "h1 long, h2 long, at long, wide boolean, left binary, right binary")
     path = shared_folder(spark)
     rows.select("*", F.xxhash64("left", "right").alias("c1"), F.xxhash64("right", F.lit(1), "left").alias("c2")).write.option("compression", "zstd").parquet(path)
+    del counts, at, places, rows
+    release(spark)
     rows = spark.read.parquet(path)
 
     # wide belongs to the leading bytes, so equal contexts agree on it; as a key it is filtered on before the shuffle
@@ -311,7 +313,9 @@ def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     where = rows.select("h1", "h2", "at", "c1", "c2").join(found.unionByName(wide), ["c1", "c2"])
     where = where.select("h1", "h2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + SPAN).alias("hi"))
     out = checkpoint(where.groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("found")))
+    del rows, merged, narrow, dealt, found, each, again, wide, where
     remove(spark, path)
+    release(spark)
     return out
 
 
