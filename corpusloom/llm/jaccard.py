@@ -13,8 +13,11 @@ least one block.
 
 Within a token's block, sets without another of fitting size are dropped before points are fetched, and the sets
 themselves are only gathered for pairs that pass the bound. A block does not list its pairs. First it emits stars over pairs that pass the bound; those are verified on the sets
-themselves, and components of what is linked are formed. A second pass emits pairs that pass the bound, are not in a star
-and whose ends are in different components: only those can still change a component. Equal sets are one set throughout.
+themselves, and components of what is linked are formed. A second pass looks at pairs that pass the bound and whose ends
+are in different components, as only those can still change a component; it emits a spanning forest of them, so no more
+rows than a block has. Each tree of the forest is then solved on the sets themselves: exact overlaps of its sets outside
+the tree's largest component with all of its sets, by matrix products over the tokens that they share, in tiles of TILE
+sets for large trees. Equal sets are one set throughout.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are components of their own;
 a text of fewer than k words has one shingle, its whole word sequence; a null doc_id is not chosen as a component's id;
@@ -43,8 +46,8 @@ FLAT = 48
 LEAF = 16
 #: Documents in stars whose list is broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 100_000
-#: Rays of a star that are checked in one group.
-RAYS = 256
+#: Rays of a star that are checked in one group; sets on each side of a tile.
+RAYS, TILE = 256, 1_024
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -188,12 +191,54 @@ def stars(points: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int,
     return [(min(p), max(p)) for p in out], rest
 
 
+class Forest:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
 def across(points: list[np.ndarray], labels: list, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs that pass the bound and whose labels differ."""
-    if len(set(labels)) > 1:
-        tree = _tree(points)
+    """A spanning forest of the pairs that pass the bound and whose labels differ."""
+    kinds = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+    if kinds.max(initial=0) > 0:
+        tree, forest = _tree(points), Forest(len(points))
         for i in range(len(points)):
-            yield from ((i, int(j)) for j in tree.reach(i, num, den) if j > i and labels[j] != labels[i])
+            near = tree.reach(i, num, den)
+            for j in near[(near > i) & (kinds[near] != kinds[i])].tolist():
+                if forest.join(i, j):
+                    yield i, j
+
+
+def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """The overlap of each asked set with each set, by products of 0-1 matrices over the tokens that occur twice."""
+    sizes = np.array([len(s) for s in asked + sets])
+    tokens, number, times = np.unique(np.concatenate(asked + sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    renumber = np.cumsum(times > 1) - 1
+    keep = times[number] > 1
+    row, column = row[keep], renumber[number[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(asked), len(sets)), dtype=np.float32)
+    for a in range(0, int(renumber[-1]) + 1 if len(renumber) else 0, columns):
+        lo, hi = np.searchsorted(column, [a, a + columns])
+        part = np.zeros((len(sizes), min(columns, int(renumber[-1]) + 1 - a)), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        out += part[: len(asked)] @ part[len(asked) :].T
+    return out.astype(np.int64)
 
 
 def _heavy(k: int):
@@ -239,8 +284,8 @@ def _cast(k: int):
                 for s, roles in zip(shingle_sets(part.column("text"), k), part.column("roles").to_pylist()):
                     own = set_id(s)
                     tokens = np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                    out += [(r["center"], r["salt"], r["ray"], own, tokens) for r in roles if r["sid"] == own]
-                    if sum(len(o[4]) for o in out[-64:]) > 1 << 22 or len(out) > 4096:
+                    out += [(r["center"], r["salt"], r["ray"], own, r["label"], tokens) for r in roles if r["sid"] == own]
+                    if sum(len(o[5]) for o in out[-64:]) > 1 << 22 or len(out) > 4096:
                         yield _cast_rows(out)
                         out = []
                 if out:
@@ -250,8 +295,18 @@ def _cast(k: int):
 
 
 def _cast_rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["center", "salt", "ray", "sid", "tokens"])
+    kinds = (pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["center", "salt", "ray", "sid", "label", "tokens"])
+
+
+def _tokens(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
 
 
 def _checked(num: int, den: int):
@@ -260,26 +315,56 @@ def _checked(num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, middle = None, np.zeros(0, dtype=np.uint64)
 
-        def tokens(raw: bytes) -> np.ndarray:
-            wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-            return wide.view("<u8").ravel()
-
         for batch in batches:
             links = []
-            for center, salt, ray, sid, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for center, salt, ray, sid, _, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if not ray:
-                    star, middle = (center, salt), tokens(raw)
+                    star, middle = (center, salt), _tokens(raw)
                 elif star == (center, salt):
-                    other = tokens(raw)
+                    other = _tokens(raw)
                     shared = len(np.intersect1d(middle, other, assume_unique=True))
                     if den * shared >= num * (len(middle) + len(other) - shared):
                         links.append((center, sid))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
+            yield _links(links)
 
     return check
 
 
+def _solved(num: int, den: int):
+    """Over partitions ordered by tile: links between different labels, no more than join labels of the tile."""
+
+    def close(rows: list[tuple], out: list[tuple]) -> None:
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        asked = [r for r in rows if r[0]]
+        if not asked or len({r[2] for r in rows}) < 2:
+            return
+        sets = [_tokens(r[3]) for r in rows]
+        mine = [i for i, r in enumerate(rows) if r[0]]
+        shared = overlaps([sets[i] for i in mine], sets)
+        size = np.array([len(x) for x in sets])
+        linked = den * shared >= num * (size[mine][:, None] + size[None, :] - shared)
+        number = {x: i for i, x in enumerate({r[2]: None for r in rows})}
+        label, forest = np.array([number[r[2]] for r in rows]), Forest(len(number))
+        for i, row in zip(mine, linked):
+            at = np.flatnonzero(row & (label != label[i]))
+            for j in at[np.unique(label[at], return_index=True)[1]].tolist():
+                if forest.join(int(label[i]), int(label[j])):
+                    out.append((rows[i][1], rows[j][1]))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, out = None, [], []
+        for batch in batches:
+            for center, salt, ray, sid, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (center, salt) != tile:
+                    close(rows, out)
+                    tile, rows = (center, salt), []
+                rows.append((ray, sid, label, raw))
+        close(rows, out)
+        yield _links(out)
+
+    return solve
+
+
 def _blocks(num: int, den: int, labelled: bool):
     """Over partitions ordered by token, so that a block's rows follow each other."""
 
@@ -326,13 +411,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: in
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
     rays = pairs.join(salts, "a").select(F.col("b").alias("sid"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"))
     middles = salts.select(F.col("a").alias("sid"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ray"))
-    roles = rays.unionByName(middles).join(ids, "sid").groupBy("least").agg(F.collect_list(F.struct("sid", "center", "salt", "ray")).alias("roles"))
+    sets = _fetched(rays.unionByName(middles).withColumn("label", F.lit(None).cast("binary")), docs, ids, k)
+    return checkpoint(sets.mapInArrow(_checked(num, den), "a binary, b binary").distinct())
+
+
+def _fetched(roles: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """The sets of all roles (sid, center, salt, ray, label), together by center and salt, rows that are no rays first."""
+    roles = roles.join(ids, "sid").groupBy("least").agg(F.collect_list(F.struct("sid", "center", "salt", "ray", "label")).alias("roles"))
     roles = checkpoint(roles)
     few = roles.count() <= BROADCAST_IDS
     both = docs.join(F.broadcast(roles) if few else roles, docs["doc_id"].eqNullSafe(roles["least"])).select("text", "roles")
-    sets = both.mapInArrow(_cast(k), "center binary, salt long, ray boolean, sid binary, tokens binary")
-    sets = sets.repartition("center", "salt").sortWithinPartitions("center", "salt", "ray")
-    return checkpoint(sets.mapInArrow(_checked(num, den), "a binary, b binary").distinct())
+    sets = both.mapInArrow(_cast(k), "center binary, salt long, ray boolean, sid binary, label binary, tokens binary")
+    return sets.repartition("center", "salt").sortWithinPartitions("center", "salt", "ray")
+
+
+def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between sets of one tree with different labels, enough to join all labels that any links join.
+
+    trees: sid, tree, label. Sets outside a tree's largest label are asked against all sets of the tree; a tree of more
+    than TILE sets is dealt over tiles of asked sets by sets.
+    """
+    labels = trees.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("largest"), F.max("n").alias("most")
+    )
+    rows = trees.join(labels, "tree").withColumn("asked", F.col("label") != F.col("largest"))
+    across, down = F.ceil(F.col("all") / TILE), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / TILE))
+    rows = rows.withColumn("_x", across).withColumn("_y", down).withColumn("_h", F.xxhash64("sid"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = rows.filter("asked").withColumn("_i", every("_x")).withColumn("salt", F.pmod("_h", F.col("_y")) * F.col("_x") + F.col("_i"))
+    others = rows.withColumn("_i", every("_y")).withColumn("salt", F.col("_i") * F.col("_x") + F.pmod("_h", F.col("_x")))
+    others = others.filter("_x > 1 OR NOT asked")  # one tile: asked sets are there already
+    pick = lambda d, ray: d.select("sid", F.col("tree").alias("center"), "salt", F.lit(ray).alias("ray"), "label")
+    sets = _fetched(pick(asked, True).unionByName(pick(others, False)), docs, ids, k)
+    return checkpoint(sets.mapInArrow(_solved(num, den), "a binary, b binary").distinct())
 
 
 def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -375,10 +486,14 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = rows.select("token", "sid", F.coalesce("component", "sid").alias("label"))
     ends = Window.partitionBy("token")
     rows = rows.withColumn("_lo", F.min("label").over(ends)).withColumn("_hi", F.max("label").over(ends)).filter("_lo <> _hi")
-    more = near(rows.join(points, "sid").select("token", "sid", "point", "label"), True).filter("a IS NOT NULL").select("a", "b").distinct()
-    more = _verified(checkpoint(more.join(tried, ["a", "b"], "left_anti")), docs, ids, k, num, den)
+    more = checkpoint(near(rows.join(points, "sid").select("token", "sid", "point", "label"), True).filter("a IS NOT NULL").select("a", "b").distinct())
+    release(spark)
     if more.take(1):
+        trees = components(more, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("tree"))
+        trees = trees.join(label, F.col("sid") == F.col("node"), "left").select("sid", "tree", F.coalesce("component", "sid").alias("label"))
+        more = _joined(checkpoint(trees), docs, ids, k, num, den)
         label = components(links.unionByName(more), "a", "b")
+        release(spark)
 
     group = unique.select("sid", "least").join(label, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("group"))
     ids = group.groupBy("group").agg(F.min("least").alias("component_id"))
