@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,8 +62,10 @@ def release(spark: SparkSession) -> None:
     It works when the driver collects garbage, which small driver heaps with little to do may not for a long time; a
     chain of steps over large tables would hold the files of all of them.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # plans refer to exchanges through objects that are themselves only dropped by a collection
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def remove(spark: SparkSession, path: str) -> None:
