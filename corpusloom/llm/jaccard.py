@@ -17,7 +17,7 @@ themselves, and components of what is linked are formed. A second pass looks at
 are in different components, as only those can still change a component; it emits a spanning forest of them, so no more
 rows than a block has. Each tree of the forest is then solved on the sets themselves: exact overlaps of its sets outside
 the tree's largest component with all of its sets, by matrix products over the tokens that they share, in tiles of TILE
-sets for large trees. Equal sets are one set throughout.
+tokens for large trees. Equal sets are one set throughout.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are components of their own;
 a text of fewer than k words has one shingle, its whole word sequence; a null doc_id is not chosen as a component's id;
@@ -46,8 +46,8 @@ FLAT = 48
 LEAF = 16
 #: Documents in stars whose list is broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 100_000
-#: Rays of a star that are checked in one group; sets on each side of a tile.
-RAYS, TILE = 256, 1_024
+#: Rays of a star that are checked in one group; about so many tokens of sets on each side of a tile.
+RAYS, TILE = 256, 400_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -428,10 +428,10 @@ def _fetched(roles: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataF
 def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between sets of one tree with different labels, enough to join all labels that any links join.
 
-    trees: sid, tree, label. Sets outside a tree's largest label are asked against all sets of the tree; a tree of more
-    than TILE sets is dealt over tiles of asked sets by sets.
+    trees: sid, n, tree, label. Sets outside a tree's largest label are asked against all sets of the tree; a tree with
+    more than TILE tokens is dealt over tiles of asked sets by sets.
     """
-    labels = trees.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(
+    labels = trees.groupBy("tree", "label").agg(F.sum("n").alias("n")).groupBy("tree").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("largest"), F.max("n").alias("most")
     )
     rows = trees.join(labels, "tree").withColumn("asked", F.col("label") != F.col("largest"))
@@ -490,7 +490,7 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     release(spark)
     if more.take(1):
         trees = components(more, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("tree"))
-        trees = trees.join(label, F.col("sid") == F.col("node"), "left").select("sid", "tree", F.coalesce("component", "sid").alias("label"))
+        trees = trees.join(label, F.col("sid") == F.col("node"), "left").join(unique.select("sid", "n"), "sid").select("sid", "n", "tree", F.coalesce("component", "sid").alias("label"))
         more = _joined(checkpoint(trees), docs, ids, k, num, den)
         label = components(links.unionByName(more), "a", "b")
         release(spark)
