@@ -256,6 +256,41 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of each document, which follow each other by their begin, as ranges that neither meet nor overlap."""
+    key, runs, out = None, [], []
+
+    def rows() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), kinds)], ["h1", "h2", "found"])
+
+    for batch in batches:
+        h1, h2, lo, hi = (c.to_numpy() for c in batch.columns)
+        # runs within the batch first: a row begins one if it is of another document or beyond all that came before it
+        doc = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, dtype=bool)
+        number = np.cumsum(doc)
+        reach = np.maximum.accumulate(hi + number * (1 << 40)) - number * (1 << 40) if len(hi) else hi
+        new = doc.copy()
+        new[1:] |= lo[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(lo)) - 1
+        for a, b, x, y in zip(h1[at].tolist(), h2[at].tolist(), lo[at].tolist(), reach[last].tolist()):
+            if (a, b) != key:
+                if key is not None:
+                    out.append((*key, runs))
+                    if len(out) >= 4096:
+                        yield rows()
+                        out = []
+                key, runs = (a, b), []
+            if runs and x <= runs[-1]["hi"]:
+                runs[-1]["hi"] = max(runs[-1]["hi"], y)
+            else:
+                runs.append({"lo": x, "hi": y})
+    if key is not None:
+        out.append((*key, runs))
+    yield rows()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 22):
@@ -310,10 +345,14 @@ def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     again = each.groupBy("p1", "p2").agg(F.sum("times").alias("n")).filter("n > 1").drop("n")
     wide = each.join(again, ["p1", "p2"]).select("c1", "c2", F.col("j").alias("lo"), F.col("j").alias("hi"))
 
-    where = rows.select("h1", "h2", "at", "c1", "c2").join(found.unionByName(wide), ["c1", "c2"])
+    found = checkpoint(found.unionByName(wide))
+    del merged, narrow, dealt, each, again, wide
+    release(spark)
+    where = rows.select("h1", "h2", "at", "c1", "c2").join(found, ["c1", "c2"])
     where = where.select("h1", "h2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + SPAN).alias("hi"))
-    out = checkpoint(where.groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("found")))
-    del rows, merged, narrow, dealt, found, each, again, wide, where
+    out = where.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "lo").mapInArrow(_merged, "h1 long, h2 long, found array<struct<lo:long,hi:long>>")
+    out = checkpoint(out)
+    del rows, found, where
     remove(spark, path)
     release(spark)
     return out
