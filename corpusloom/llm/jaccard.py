@@ -15,9 +15,11 @@ Within a token's block, sets without another of fitting size are dropped before
 themselves are only gathered for pairs that pass the bound. A block does not list its pairs. First it emits stars over pairs that pass the bound; those are verified on the sets
 themselves, and components of what is linked are formed. A second pass looks at pairs that pass the bound and whose ends
 are in different components, as only those can still change a component; it emits a spanning forest of them, so no more
-rows than a block has. Each tree of the forest is then solved on the sets themselves: exact overlaps of its sets outside
-the tree's largest component with all of its sets, by matrix products over the tokens that they share, in tiles of TILE
-tokens for large trees. Equal sets are one set throughout.
+rows than a block has. Each tree of the forest is then solved exactly: its sets travel once, to a pivot P of the tree, and
+are kept as what they lack of P and what they have besides, which is little for near copies; the overlap of A and B is
+|P| less what either lacks, with what both have besides. Sets outside the tree's largest component are asked against all
+its sets by matrix products over the differences that occur twice, in tiles of TILE tokens for large trees. Equal sets are
+one set throughout.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are components of their own;
 a text of fewer than k words has one shingle, its whole word sequence; a null doc_id is not chosen as a component's id;
@@ -330,18 +332,42 @@ def _checked(num: int, den: int):
     return check
 
 
+#: Marks tokens that a set lacks of its pivot, so that they differ from all that it has.
+LACKS = np.uint64(1 << 48)
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over partitions ordered so that a tree's pivot comes first: each set's size and differences from the pivot."""
+    tree, pivot = None, np.zeros(0, dtype=np.uint64)
+    names, kinds = ["tree", "sid", "label", "pivot", "lacks", "tokens"], (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    for batch in batches:
+        out = []
+        for center, salt, ray, sid, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if not ray:
+                tree, pivot = (center, salt), _tokens(raw)
+            elif tree == (center, salt):
+                own = _tokens(raw)
+                lacks, more = np.setdiff1d(pivot, own, assume_unique=True), np.setdiff1d(own, pivot, assume_unique=True)
+                out.append((center, sid, label, len(pivot), len(lacks), np.concatenate([more, lacks | LACKS]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 6, kinds)], names)
+
+
 def _solved(num: int, den: int):
-    """Over partitions ordered by tile: links between different labels, no more than join labels of the tile."""
+    """Over partitions ordered by tile: links between different labels, no more than join labels of the tile.
+
+    Rows: tree, salt, whether the set is asked, sid, label, size of the pivot, how many tokens the set lacks of it, and its
+    differences.
+    """
 
     def close(rows: list[tuple], out: list[tuple]) -> None:
         rows = list({(r[0], r[1]): r for r in rows}.values())
-        asked = [r for r in rows if r[0]]
-        if not asked or len({r[2] for r in rows}) < 2:
-            return
-        sets = [_tokens(r[3]) for r in rows]
         mine = [i for i, r in enumerate(rows) if r[0]]
-        shared = overlaps([sets[i] for i in mine], sets)
-        size = np.array([len(x) for x in sets])
+        if not mine or len({r[2] for r in rows}) < 2:
+            return
+        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+        pivot, lacks = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        size = pivot - 2 * lacks + np.array([len(x) for x in sets])
+        shared = pivot[None, :] - lacks[mine][:, None] - lacks[None, :] + overlaps([sets[i] for i in mine], sets)
         linked = den * shared >= num * (size[mine][:, None] + size[None, :] - shared)
         number = {x: i for i, x in enumerate({r[2]: None for r in rows})}
         label, forest = np.array([number[r[2]] for r in rows]), Forest(len(number))
@@ -354,11 +380,11 @@ def _solved(num: int, den: int):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows, out = None, [], []
         for batch in batches:
-            for center, salt, ray, sid, label, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if (center, salt) != tile:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != tile:
                     close(rows, out)
-                    tile, rows = (center, salt), []
-                rows.append((ray, sid, label, raw))
+                    tile, rows = row[:2], []
+                rows.append(row[2:])
         close(rows, out)
         yield _links(out)
 
@@ -428,22 +454,28 @@ def _fetched(roles: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataF
 def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between sets of one tree with different labels, enough to join all labels that any links join.
 
-    trees: sid, n, tree, label. Sets outside a tree's largest label are asked against all sets of the tree; a tree with
-    more than TILE tokens is dealt over tiles of asked sets by sets.
+    trees: sid, tree (the sid of one of its sets, the pivot), label. A tree with more than TILE tokens of differences is
+    dealt over tiles of asked sets by sets.
     """
-    labels = trees.groupBy("tree", "label").agg(F.sum("n").alias("n")).groupBy("tree").agg(
+    salts = trees.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
+    rays = trees.join(salts, "tree").select("sid", F.col("tree").alias("center"), F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"), "label")
+    pivots = salts.select(F.col("tree").alias("sid"), F.col("tree").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ray"), F.lit(None).cast("binary").alias("label"))
+    sets = _fetched(rays.unionByName(pivots), docs, ids, k)
+    rows = checkpoint(sets.mapInArrow(_differences, "tree binary, sid binary, label binary, pivot long, lacks long, tokens binary"))
+    release(docs.sparkSession)
+    rows = rows.withColumn("_t", F.octet_length("tokens") / 8 + 1)
+    labels = rows.groupBy("tree", "label").agg(F.sum("_t").alias("n")).groupBy("tree").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("largest"), F.max("n").alias("most")
     )
-    rows = trees.join(labels, "tree").withColumn("asked", F.col("label") != F.col("largest"))
-    across, down = F.ceil(F.col("all") / TILE), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / TILE))
-    rows = rows.withColumn("_x", across).withColumn("_y", down).withColumn("_h", F.xxhash64("sid"))
+    rows = rows.join(labels, "tree").withColumn("asked", F.col("label") != F.col("largest")).withColumn("_h", F.xxhash64("sid"))
+    rows = rows.withColumn("_x", F.ceil(F.col("all") / TILE)).withColumn("_y", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / TILE)))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     asked = rows.filter("asked").withColumn("_i", every("_x")).withColumn("salt", F.pmod("_h", F.col("_y")) * F.col("_x") + F.col("_i"))
     others = rows.withColumn("_i", every("_y")).withColumn("salt", F.col("_i") * F.col("_x") + F.pmod("_h", F.col("_x")))
     others = others.filter("_x > 1 OR NOT asked")  # one tile: asked sets are there already
-    pick = lambda d, ray: d.select("sid", F.col("tree").alias("center"), "salt", F.lit(ray).alias("ray"), "label")
-    sets = _fetched(pick(asked, True).unionByName(pick(others, False)), docs, ids, k)
-    return checkpoint(sets.mapInArrow(_solved(num, den), "a binary, b binary").distinct())
+    pick = lambda d, is_asked: d.select("tree", "salt", F.lit(is_asked).alias("asked"), "sid", "label", "pivot", "lacks", "tokens")
+    tiles = pick(asked, True).unionByName(pick(others, False)).repartition("tree", "salt").sortWithinPartitions("tree", "salt")
+    return checkpoint(tiles.mapInArrow(_solved(num, den), "a binary, b binary").distinct())
 
 
 def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -490,7 +522,7 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     release(spark)
     if more.take(1):
         trees = components(more, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("tree"))
-        trees = trees.join(label, F.col("sid") == F.col("node"), "left").join(unique.select("sid", "n"), "sid").select("sid", "n", "tree", F.coalesce("component", "sid").alias("label"))
+        trees = trees.join(label, F.col("sid") == F.col("node"), "left").select("sid", "tree", F.coalesce("component", "sid").alias("label"))
         more = _joined(checkpoint(trees), docs, ids, k, num, den)
         label = components(links.unionByName(more), "a", "b")
         release(spark)
