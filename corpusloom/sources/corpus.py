@@ -36,9 +36,12 @@ def relative(path: Column, root: str) -> Column:
     return F.substring(plain, len(base) + 1, 1 << 20)
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True) -> DataFrame:
-    """path, mtime (seconds), length and content of all files under root that match a name pattern, but .git's."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+def files(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, inside: str = "") -> DataFrame:
+    """path, mtime (seconds), length and content of all files under root that match a name pattern, but .git's.
+
+    Spark passes over folders whose names begin with a dot unless they are named: inside is one below root.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(f"{root.rstrip('/')}/{inside}")
     found = found.select(relative(F.col("path"), root).alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", *(["content"] if content else []))
     return found.filter(~F.concat(F.lit("/"), "path").contains("/.git/"))
 
@@ -126,7 +129,7 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def sidecars(spark: SparkSession, root: str, folder: str = ".carta/sidecars") -> DataFrame:
     """The metadata files under a folder: sidecar_path, the parsed fields, and whether parsing failed."""
-    found = files(spark, root, "*.embed-meta.yaml").filter(F.col("path").startswith(folder.rstrip("/") + "/"))
+    found = files(spark, root, "*.embed-meta.yaml", inside=folder)
     schema = T._parse_datatype_string(SIDECAR)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
