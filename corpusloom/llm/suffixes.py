@@ -37,7 +37,7 @@ from .common import _BYTE, buffers, checkpoint, mix, release, remove, shared_fol
 SPAN, LEAD = 200, 48
 BACK = SPAN - LEAD
 #: Largest group of equal leading bytes that is sorted in one task, and rows sorted at once.
-BLOCK, ROWS = 8_192, 16_384
+BLOCK, ROWS = 65_536, 16_384
 
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)]
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -117,10 +117,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def words_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, back: bool) -> np.ndarray:
     """Byte ranges as rows of big-endian 64-bit words, padded with zeros; back: each read from its end."""
-    column = np.arange(width)
-    place = (start + size)[:, None] - 1 - column if back else start[:, None] + column
-    inside = column < size[:, None]
-    out = np.where(inside, data[np.where(inside, place, 0)], 0).astype(np.uint8) if len(data) else np.zeros((len(start), width), dtype=np.uint8)
+    column, out = np.arange(width), np.zeros((len(start), width), dtype=np.uint8)
+    for i in range(0, len(start) if len(data) else 0, 4096):  # so many rows at once, as places take eight times their bytes
+        part = slice(i, i + 4096)
+        place = (start[part] + size[part])[:, None] - 1 - column if back else start[part, None] + column
+        inside = column < size[part, None]
+        out[part][inside] = data[place[inside]]
     return out.view(">u8").astype(np.uint64)
 
 
@@ -343,7 +345,15 @@ def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     piece = F.substring(F.col("whole"), F.col("long") - F.col("j") + 1, F.lit(SPAN))
     each = each.select("c1", "c2", "times", "j", piece.alias("piece")).select("c1", "c2", "times", "j", F.xxhash64("j", "piece").alias("p1"), F.xxhash64(F.lit(1), "piece", "j").alias("p2"))
     again = each.groupBy("p1", "p2").agg(F.sum("times").alias("n")).filter("n > 1").drop("n")
-    wide = each.join(again, ["p1", "p2"]).select("c1", "c2", F.col("j").alias("lo"), F.col("j").alias("hi"))
+    wide = each.join(again, ["p1", "p2"]).groupBy("c1", "c2").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    # at most BACK + 1 places of a context, as runs
+    run = F.struct(F.lit(0).alias("lo"), F.lit(-2).alias("hi"))
+    step = lambda acc, j: F.when(
+        acc["now"]["hi"] == j - 1, F.struct(F.struct(acc["now"]["lo"].alias("lo"), j.alias("hi")).alias("now"), acc["runs"].alias("runs"))
+    ).otherwise(F.struct(F.struct(j.alias("lo"), j.alias("hi")).alias("now"), F.concat(acc["runs"], F.array(acc["now"])).alias("runs")))
+    start = F.struct(run.alias("now"), F.array().cast("array<struct<lo:int,hi:int>>").alias("runs"))
+    runs = F.aggregate("js", start, step, lambda acc: F.concat(acc["runs"], F.array(acc["now"])))
+    wide = wide.select("c1", "c2", F.inline(F.filter(runs, lambda r: r["hi"] >= 0)))
 
     found = checkpoint(found.unionByName(wide))
     del merged, narrow, dealt, each, again, wide
