@@ -64,3 +64,70 @@ def suffix_dedup(rows: list[tuple], span: int = 200) -> list[tuple]:
         kept = bytes(c for c, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def quality(text: str | None, most: dict[int, float], most_lines: float, most_symbols: float) -> dict:
+    """The measures and the verdict of the quality rules."""
+    text = text or ""
+    words = WORD.findall(text)
+
+    def inside(k: int) -> list[bool]:
+        runs = defaultdict(list)
+        for i in range(len(words) - k + 1):
+            runs[tuple(words[i : i + k])].append(i)
+        out = [False] * len(words)
+        for at in runs.values():
+            for i in at if len(at) > 1 else ():
+                out[i : i + k] = [True] * k
+        return out
+
+    seen, dup, times = set(), 0, defaultdict(int)
+    lines = text.split("\n")
+    for line in lines:
+        times[line] += 1
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    chars = sum(map(len, words))
+    out = {"n_words": len(words), "word_chars": chars, "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup, "n_repeat_words": sum(inside(3))}
+    out["base_failed"] = out["n_words"] < 50 or 100 * out["n_repeat_words"] > 50 * out["n_words"]
+    share = {k: sum(len(w) for w, x in zip(words, inside(k)) if x) / max(chars, 1) for k in most}
+    line_share = sum(len(w) for line in lines if times[line] > 1 for w in WORD.findall(line)) / max(chars, 1)
+    out["kept"] = not (out["base_failed"] or line_share > most_lines or out["n_symbols"] > most_symbols * len(words) or any(share[k] > m for k, m in most.items()))
+    return out
+
+
+KINDS = ("assign", "access", "hex", "entropy")
+
+
+def secret_spans(text: str | None, classes: dict, allowed: tuple, window: int) -> tuple[list, list]:
+    """Base spans and all spans as (start, kind, end)."""
+    import math
+
+    text = text or ""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+
+    def entropy(s: str, symbols: str) -> float:
+        s = [c for c in s if c in symbols]
+        best = 0.0
+        for i in range(len(s) - window + 1):
+            counts = defaultdict(int)
+            for c in s[i : i + window]:
+                counts[c] += 1
+            best = max(best, -sum(n / window * math.log2(n / window) for n in counts.values()))
+        return best
+
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(a < m.end() and m.start() < b for a, _, b in base) or any(re.search(p, m[0]) for p in allowed):
+            continue
+        fits, symbols, least = next(c for c in classes.values() if re.search(c[0], m[0]))
+        if entropy(m[0].lower() if "A" not in symbols else m[0], symbols) >= least - 1e-9:
+            more.append((m.start(), 3, m.end()))
+    return sorted(base), sorted(base + more)
+
+
+def joined(spans: list) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
