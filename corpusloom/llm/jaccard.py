@@ -169,15 +169,35 @@ class _Flat:
         return np.flatnonzero(np.minimum(self.points, self.points[i]).sum(axis=1) >= needed(self.sizes[i], self.sizes, num, den))
 
 
-def _tree(points: list[np.ndarray]):
-    sizes = np.array([p.sum() for p in points])
-    rows = fold(points, min(len(p) for p in points))
-    return (_Flat if len(points) <= FLAT else CountTree)(rows, sizes)
+class Levels:
+    """A tree for each fineness of points in a block, so that large sets are not compared as coarsely as small ones.
+
+    Two points are compared at the coarser one's number of groups: the tree of a level has that level's points, and finer
+    ones folded.
+    """
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        self.groups = np.array([len(p) for p in points])
+        sizes = np.array([p.sum() for p in points])
+        self.trees: dict[int, tuple[np.ndarray, CountTree | _Flat]] = {}
+        for level in np.unique(self.groups).tolist():
+            rows = np.flatnonzero(self.groups >= level)
+            self.trees[level] = rows, (_Flat if len(rows) <= FLAT else CountTree)(fold([points[i] for i in rows], level), sizes[rows])
+
+    def reach(self, i: int, num: int, den: int) -> np.ndarray:
+        """The rows, i among them, whose overlap bound with row i is enough."""
+        mine, out = self.groups[i], []
+        for level, (rows, tree) in self.trees.items():
+            # a set is at most den / num times as large as one linked with it, so its groups are not many times more
+            if level <= mine and level * den * 2 >= mine * num:
+                found = rows[tree.reach(int(np.searchsorted(rows, i)), num, den)]
+                out.append(found if level == mine else found[self.groups[found] == level])
+        return np.sort(np.concatenate(out))
 
 
 def stars(points: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
     """Stars over pairs that pass the bound, and whether other pairs pass too. Each row of such a pair is in a star."""
-    tree, taken, out, rest = _tree(points), np.zeros(len(points), dtype=bool), [], False
+    tree, taken, out, rest = Levels(points), np.zeros(len(points), dtype=bool), [], False
     for i in range(len(points)):
         if taken[i]:
             continue
@@ -216,7 +236,7 @@ def across(points: list[np.ndarray], labels: list, num: int, den: int) -> Iterat
     """A spanning forest of the pairs that pass the bound and whose labels differ."""
     kinds = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
     if kinds.max(initial=0) > 0:
-        tree, forest = _tree(points), Forest(len(points))
+        tree, forest = Levels(points), Forest(len(points))
         for i in range(len(points)):
             near = tree.reach(i, num, den)
             for j in near[(near > i) & (kinds[near] != kinds[i])].tolist():

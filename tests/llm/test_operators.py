@@ -29,7 +29,7 @@ def documents(spark, rows=ODD):
 
 
 def sample(spark, sf):
-    return [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    return [(r["doc_id"] + 10_000, r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]  # ids apart from those of ODD
 
 
 def rows(df):
