@@ -22,7 +22,7 @@ def orphaned_chunks(index: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select(*_issue("orphaned", "orphaned_chunks", "warning", "sidecar_id", "sidecar_id", "chunk_ids", F.col("chunk_count").cast("long").alias("chunk_count"), preview, F.coalesce("doc_type", F.lit("unknown")).alias("doc_type")))
 
 
-def missing_sidecars(index: DataFrame, registry: DataFrame, root: str = ".carta/sidecars/") -> DataFrame:
+def missing_sidecars(index: DataFrame, registry: DataFrame, root: str = ".loom/sidecars/") -> DataFrame:
     """The same chunks seen from the metadata that should be there."""
     out = index.join(registry.select("sidecar_id").distinct(), "sidecar_id", "left_anti")
     want = F.coalesce(F.concat(F.lit(root), F.col("file_path"), F.lit(".embed-meta.yaml")), F.lit("unknown")).alias("expected_sidecar_path")

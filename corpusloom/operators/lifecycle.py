@@ -77,10 +77,10 @@ def induct(files: DataFrame, sidecars: DataFrame, project: str, docs_root: str =
     path = F.col("path")
     new = files.filter(path.startswith(docs_root) & text.suffix(path).isin(".md", ".pdf")).join(sidecars.select(F.col("current_path").alias("path")).distinct(), "path", "left_anti")
     kind = text.doc_type(path)
-    return new.select(text.sidecar_path(path, ".carta/sidecars").alias("sidecar_path"), text.slug(path).alias("slug"), kind.alias("doc_type"), text.file_type(path).alias("file_type"), path.alias("current_path"), F.lit("pending").alias("status"), F.lit(f"{project}_doc").alias("collection"), F.lit(1).alias("generation"), F.sha2(path, 256).alias("sidecar_id"))
+    return new.select(text.sidecar_path(path, ".loom/sidecars").alias("sidecar_path"), text.slug(path).alias("slug"), kind.alias("doc_type"), text.file_type(path).alias("file_type"), path.alias("current_path"), F.lit("pending").alias("status"), F.lit(f"{project}_doc").alias("collection"), F.lit(1).alias("generation"), F.sha2(path, 256).alias("sidecar_id"))
 
 
-def heal(sidecars: DataFrame, files: DataFrame, root: str = ".carta/sidecars/") -> DataFrame:
+def heal(sidecars: DataFrame, files: DataFrame, root: str = ".loom/sidecars/") -> DataFrame:
     """Missing source paths filled in from files of the same place and stem: PDF first, then markdown."""
     base = F.regexp_replace(F.substring("sidecar_path", len(root) + 1, 1 << 20), r"\.embed-meta\.yaml$", "")
     rank = F.when(text.suffix(F.col("path")) == ".pdf", 1).when(text.suffix(F.col("path")) == ".md", 2)
@@ -89,7 +89,7 @@ def heal(sidecars: DataFrame, files: DataFrame, root: str = ".carta/sidecars/")
     return both.withColumn("current_path", F.coalesce(F.nullif("current_path", F.lit("")), "_path")).select(*sidecars.columns)
 
 
-def migrate(sidecars: DataFrame, root: str = ".carta/sidecars/") -> DataFrame:
+def migrate(sidecars: DataFrame, root: str = ".loom/sidecars/") -> DataFrame:
     """Metadata beside their sources get the mirrored path; what is already there wins."""
     moved = sidecars.withColumn("_old", ~F.col("sidecar_path").startswith(root)).withColumn("sidecar_path", F.when(F.col("sidecar_path").startswith(root), F.col("sidecar_path")).otherwise(F.concat(F.lit(root), "sidecar_path")))
     return latest(moved, ["sidecar_path"], [F.col("_old")]).drop("_old")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..sources.corpus import COLLECTION
+from ..sources.corpus import COLLECTION, GLOBAL
 
 #: Queries whose table is broadcast; more meet the points by blocks.
 BROADCAST_QUERIES = 2_000
@@ -78,13 +78,13 @@ def near_duplicates(points: DataFrame, least: float = 0.92) -> DataFrame:
 
 
 def project_of(name: Column) -> Column:
-    """The project of a collection; ``carta_global`` for global ones; null for other names."""
-    return F.when(name.rlike(r"^carta_global_(doc|notes|session|visual)$"), "carta_global").when(name.rlike(COLLECTION), F.regexp_extract(name, COLLECTION, 2))
+    """The project of a collection; `GLOBAL` for global ones; null for other names."""
+    return F.when(name.rlike(rf"^{GLOBAL}_(doc|notes|session|visual)$"), GLOBAL).when(name.rlike(COLLECTION), F.regexp_extract(name, COLLECTION, 2))
 
 
 def permitted(collections: DataFrame, current: str, mode: str = "all", projects: Iterable[str] = ()) -> DataFrame:
     """Collections that a project may recall from: its own and global ones always; others by include or exclude lists."""
-    project, own = project_of(F.col("name")), [current, "carta_global"]
+    project, own = project_of(F.col("name")), [current, GLOBAL]
     if mode == "include":
         return collections.filter(project.isin([*own, *projects]))
     if mode == "exclude":
@@ -98,7 +98,7 @@ def scope(project: str, kind: str = "repo", visual: bool = False, shared: Mappin
     if kind == "repo":
         return own
     if kind == "global":
-        return [f"carta_global_{k}" for k in KINDS]
+        return [f"{GLOBAL}_{k}" for k in KINDS]
     if kind != "shared":
         raise ValueError("scope must be repo, shared or global")
     if not (shared or {}).get("enabled"):

@@ -130,15 +130,15 @@ def edge_reciprocity(t: Tables) -> DataFrame:
     return graph.one_way(links(t)).select("src", "dst", "pos")
 
 
-NAMES = "SELECT DISTINCT CASE doc_id % 4 WHEN 3 THEN 'carta_global' ELSE source END || CASE doc_id % 3 WHEN 0 THEN '_doc' WHEN 1 THEN '_notes' ELSE '_other' END AS name FROM documents"
+NAMES = "SELECT DISTINCT CASE doc_id % 4 WHEN 3 THEN 'loom_global' ELSE source END || CASE doc_id % 3 WHEN 0 THEN '_doc' WHEN 1 THEN '_notes' ELSE '_other' END AS name FROM documents"
 
 
 def names(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    return t.documents.select(F.concat(F.when(d % 4 == 3, "carta_global").otherwise(F.col("source")), F.when(d % 3 == 0, "_doc").when(d % 3 == 1, "_notes").otherwise("_other")).alias("name")).distinct()
+    return t.documents.select(F.concat(F.when(d % 4 == 3, "loom_global").otherwise(F.col("source")), F.when(d % 3 == 0, "_doc").when(d % 3 == 1, "_notes").otherwise("_other")).alias("name")).distinct()
 
 
-@query(f"SELECT name FROM ({NAMES}) WHERE regexp_matches(name, '^(\\w+)_(doc|notes|session|visual)$') AND regexp_replace(name, '_(doc|notes|session|visual)$', '') IN ('src1', 'carta_global', 'src2', 'src3')")
+@query(f"SELECT name FROM ({NAMES}) WHERE regexp_matches(name, '^(\\w+)_(doc|notes|session|visual)$') AND regexp_replace(name, '_(doc|notes|session|visual)$', '') IN ('src1', 'loom_global', 'src2', 'src3')")
 def scope_include(t: Tables) -> DataFrame:
     return search.permitted(names(t), "src1", "include", ["src2", "src3"])
 

@@ -163,7 +163,7 @@ CHUNKS = "SELECT l_orderkey::VARCHAR AS sidecar_id, l_linenumber, l_partkey FROM
 def registry(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     return t.orders.filter("o_orderkey % 10 <> 0").select(
-        k.cast("string").alias("sidecar_id"), F.concat(F.lit("docs/"), k, F.lit(".md")).alias("file_path"), F.concat(F.lit(".carta/sidecars/"), k, F.lit(".embed-meta.yaml")).alias("sidecar_path"),
+        k.cast("string").alias("sidecar_id"), F.concat(F.lit("docs/"), k, F.lit(".md")).alias("file_path"), F.concat(F.lit(".loom/sidecars/"), k, F.lit(".embed-meta.yaml")).alias("sidecar_path"),
         (k % 7 + 1).cast("int").alias("chunk_count"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("file_mtime"), F.lit(None).cast("string").alias("last_embedded"),
         F.sha2(F.col("o_orderstatus"), 256).alias("file_hash"), F.concat(F.lit("docs/"), k, F.lit(".md")).alias("current_path"),
     )
@@ -185,7 +185,7 @@ def orphaned_chunks(t: Tables) -> DataFrame:
     return audit.orphaned_chunks(index(t), registry(t)).select("id", "sidecar_id", "chunk_count", "first_chunk_text", "chunk_ids")
 
 
-@query(f"SELECT sidecar_id, '.carta/sidecars/docs/' || sidecar_id || '.md.embed-meta.yaml' AS expected_sidecar_path FROM ({CHUNKS}) WHERE sidecar_id NOT IN (SELECT sidecar_id FROM ({META})) GROUP BY 1")
+@query(f"SELECT sidecar_id, '.loom/sidecars/docs/' || sidecar_id || '.md.embed-meta.yaml' AS expected_sidecar_path FROM ({CHUNKS}) WHERE sidecar_id NOT IN (SELECT sidecar_id FROM ({META})) GROUP BY 1")
 def missing_sidecar(t: Tables) -> DataFrame:
     return audit.missing_sidecars(index(t), registry(t)).select("sidecar_id", "expected_sidecar_path")
 

@@ -56,12 +56,12 @@ def slug(t: Tables) -> DataFrame:
 @query(f"""
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'datasheet' WHEN 1 THEN 'unknown' WHEN 2 THEN 'guide' ELSE 'spec' END AS doc_type,
   CASE WHEN lower(path) LIKE '%.md' THEN 'markdown' ELSE 'pdf' END AS file_type,
-  '.carta/sidecars/' || regexp_replace(path, '^(.*[^/])\\.[^./]+$', '\\1') || '.embed-meta.yaml' AS sidecar_path
+  '.loom/sidecars/' || regexp_replace(path, '^(.*[^/])\\.[^./]+$', '\\1') || '.embed-meta.yaml' AS sidecar_path
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'datasheets/' WHEN 1 THEN 'other/' WHEN 2 THEN 'specs/guides/x/' ELSE 'specs/' END || {PATH} AS path FROM pages)""")
 def file_attributes(t: Tables) -> DataFrame:
     folder = F.when(F.col("page_id") % 4 == 0, "datasheets/").when(F.col("page_id") % 4 == 1, "other/").when(F.col("page_id") % 4 == 2, "specs/guides/x/").otherwise("specs/")
     path = F.concat(folder, url_path("url"))
-    return t.pages.select("page_id", text.doc_type(path).alias("doc_type"), text.file_type(path).alias("file_type"), text.sidecar_path(path, ".carta/sidecars").alias("sidecar_path"))
+    return t.pages.select("page_id", text.doc_type(path).alias("doc_type"), text.file_type(path).alias("file_type"), text.sidecar_path(path, ".loom/sidecars").alias("sidecar_path"))
 
 
 @query("SELECT doc_id, substr(text, 1, 300) AS excerpt, substr(text, 1, 100) AS preview, right(text, 500) AS query FROM documents")

@@ -26,8 +26,10 @@ SIDECAR = (
 )
 #: Files that can be embedded besides markdown.
 MEDIA = (".pdf", ".m4a", ".mp3", ".wav", ".aac")
+#: The project that global collections belong to; settable for stores that name it otherwise.
+GLOBAL = "loom_global"
 #: Fixed pattern of collection names.
-COLLECTION = r"(?U)^((\w+)_(doc|notes|session|visual)|carta_global_(doc|notes|session|visual))$"
+COLLECTION = rf"(?U)^((\w+)_(doc|notes|session|visual)|{GLOBAL}_(doc|notes|session|visual))$"
 
 
 def relative(path: Column, root: str) -> Column:
@@ -127,7 +129,7 @@ def sections(docs: DataFrame) -> DataFrame:
     return cut.select("path", "page", F.when(headed, F.rtrim(first)).otherwise("(intro)").alias("heading"), "text")
 
 
-def sidecars(spark: SparkSession, root: str, folder: str = ".carta/sidecars") -> DataFrame:
+def sidecars(spark: SparkSession, root: str, folder: str = ".loom/sidecars") -> DataFrame:
     """The metadata files under a folder: sidecar_path, the parsed fields, and whether parsing failed."""
     found = files(spark, root, "*.embed-meta.yaml", inside=folder)
     schema = T._parse_datatype_string(SIDECAR)
@@ -258,7 +260,7 @@ def checked_config(config: Mapping) -> dict:
     return dict(config)
 
 
-def find_upwards(start: PurePosixPath, exists, name: str = ".carta/config.yaml") -> PurePosixPath | None:
+def find_upwards(start: PurePosixPath, exists, name: str = ".loom/config.yaml") -> PurePosixPath | None:
     """The nearest settings file at or above a folder. exists: tells whether a path is there."""
     for folder in (start, *start.parents):
         if exists(folder / name):

@@ -189,7 +189,7 @@ def test_scopes(spark):
         search.scope("p", "nowhere")
 
 
-@pytest.mark.parametrize("name, ok", [("myproject_doc", True), ("carta_global_notes", True), ("system_config", False), ("", False), ("_doc", False), ("myproject", False)])
+@pytest.mark.parametrize("name, ok", [("myproject_doc", True), ("loom_global_notes", True), ("system_config", False), ("", False), ("_doc", False), ("myproject", False)])
 def test_collection_names(spark, name, ok):
     assert one(spark, F.lit(name).rlike(corpus.COLLECTION)) == ok
 
@@ -215,9 +215,9 @@ def test_repository_end_to_end(spark, tmp_path):
     put("docs/c/C.md", "no frontmatter")
     put("stray.md", "x")
     put("README.md", "x")
-    put(".carta/sidecars/docs/a/A.embed-meta.yaml", "sidecar_id: s1\ncurrent_path: docs/a/A.md\nstatus: embedded\nfile_mtime: 1.0\nchunk_count: 3\nfile_hash: zzz\n")
-    put(".carta/sidecars/docs/x.embed-meta.yaml", "sidecar_id: s2\ncurrent_path: docs/x.pdf\n")
-    put(".carta/sidecars/docs/bad.embed-meta.yaml", "a: [")
+    put(".loom/sidecars/docs/a/A.embed-meta.yaml", "sidecar_id: s1\ncurrent_path: docs/a/A.md\nstatus: embedded\nfile_mtime: 1.0\nchunk_count: 3\nfile_hash: zzz\n")
+    put(".loom/sidecars/docs/x.embed-meta.yaml", "sidecar_id: s2\ncurrent_path: docs/x.pdf\n")
+    put(".loom/sidecars/docs/bad.embed-meta.yaml", "a: [")
     root = str(tmp_path)
     md = corpus.markdown(spark, root)
     docs = md.withColumn("frontmatter", corpus.frontmatter(F.col("text")))
@@ -227,7 +227,7 @@ def test_repository_end_to_end(spark, tmp_path):
     assert found == {
         ("homeless_doc", "stray.md"), ("missing_frontmatter", "docs/c/C.md"), ("prototype_doc", "docs/b/B.md"), ("stale_last_reviewed", "docs/a/A.md"), ("broken_related", "docs/a/A.md"),
         ("one_way_link", "docs/a/A.md"), ("stale_related", "docs/a/A.md"), ("orphaned_doc", "docs/a/A.md"), ("orphaned_doc", "docs/c/C.md"),
-        ("sidecar_parse_error", ".carta/sidecars/docs/bad.embed-meta.yaml"), ("sidecar_path_drift", ".carta/sidecars/docs/x.embed-meta.yaml"), ("embed_drift", "docs/a/A.md"),
+        ("sidecar_parse_error", ".loom/sidecars/docs/bad.embed-meta.yaml"), ("sidecar_path_drift", ".loom/sidecars/docs/x.embed-meta.yaml"), ("embed_drift", "docs/a/A.md"),
     }
     cut = [(r["page"], r["heading"]) for r in corpus.sections(md.filter("path = 'docs/a/A.md'")).orderBy("page").collect()]
     assert cut == [(1, "# A"), (2, "## One"), (3, "### Two")]
@@ -244,7 +244,7 @@ def test_config():
     assert corpus.merged_config({"a": {"b": 1, "c": 2}, "d": [1]}, {"a": {"b": 3}, "d": [2]}) == {"a": {"b": 3, "c": 2}, "d": [2]}
     with pytest.raises(ValueError):
         corpus.checked_config({"project_name": " "})
-    assert corpus.find_upwards(PurePosixPath("/a/b/c"), lambda p: str(p) == "/a/.carta/config.yaml") == PurePosixPath("/a/.carta/config.yaml")
+    assert corpus.find_upwards(PurePosixPath("/a/b/c"), lambda p: str(p) == "/a/.loom/config.yaml") == PurePosixPath("/a/.loom/config.yaml")
 
 
 def test_reading_pages_and_routing(spark):
@@ -268,9 +268,9 @@ def test_state(spark):
 
 def test_sidecar_upkeep(spark):
     files = spark.createDataFrame([("docs/a.pdf",), ("docs/a.md",), ("docs/manuals/n.md",)], "path string")
-    side = spark.createDataFrame([(".carta/sidecars/docs/a.embed-meta.yaml", None), ("docs/b.embed-meta.yaml", "docs/b.md")], "sidecar_path string, current_path string")
+    side = spark.createDataFrame([(".loom/sidecars/docs/a.embed-meta.yaml", None), ("docs/b.embed-meta.yaml", "docs/b.md")], "sidecar_path string, current_path string")
     assert {r["current_path"] for r in lifecycle.heal(side, files).collect()} == {"docs/a.pdf", "docs/b.md"}
-    assert {r["sidecar_path"] for r in lifecycle.migrate(side).collect()} == {".carta/sidecars/docs/a.embed-meta.yaml", ".carta/sidecars/docs/b.embed-meta.yaml"}
+    assert {r["sidecar_path"] for r in lifecycle.migrate(side).collect()} == {".loom/sidecars/docs/a.embed-meta.yaml", ".loom/sidecars/docs/b.embed-meta.yaml"}
     new = lifecycle.induct(files, side, "p").orderBy("current_path").collect()
     assert [(r["slug"], r["doc_type"], r["file_type"]) for r in new] == [("a", "unknown", "markdown"), ("a", "unknown", "pdf"), ("n", "manual", "markdown")]
     assert lifecycle.orphaned(side, files).count() == 1
