@@ -320,7 +320,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ranges(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each document (h1, h2) the byte ranges [lo, hi) to remove; they may overlap. docs: h1, h2, text."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_leads, "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n")).filter("n > 1")
+    # checkpointed, so that the join below is between plain exchanges, of which AQE splits a common lead's rows
+    counts = checkpoint(docs.select("text").mapInArrow(_leads, "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n")).filter("n > 1"))
     at = docs.select("h1", "text").mapInArrow(_found, "h1 long, at long, lead long").join(counts, "lead")
     places = at.groupBy("h1").agg(F.collect_set(F.struct("at", (F.col("n") > block).alias("wide"))).alias("places"))
     rows = docs.join(places, "h1").select("h1", "h2", "text", "places").mapInArrow(_contexts, "h1 long, h2 long, at long, wide boolean, left binary, right binary")
