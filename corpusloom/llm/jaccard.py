@@ -210,6 +210,8 @@ def stars(points: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int,
         taken[near] = True
         out += [(i, int(j)) for j in near]
         rest |= len(near) > 1
+    # rays of different stars, which no center looked at: here each star has one ray
+    rest = rest or len(out) > 1 and any(len(tree.reach(j, num, den)) > 2 for _, j in out)
     return [(min(p), max(p)) for p in out], rest
 
 

@@ -276,6 +276,36 @@ def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat):
     assert rows(jaccard.clusters(documents(spark, data), 3, 90, 100)) == sorted(brute.jaccard_components(data, 3, 90, 100), key=repr)
 
 
+def revisions(rnd, length, words=60, changed=1):
+    """Texts that each differ from the one before in some words."""
+    w, out = [f"w{rnd.randrange(10**6)}" for _ in range(words)], []
+    for _ in range(length):
+        out.append(" ".join(w))
+        for at in rnd.sample(range(words), changed):
+            w[at] = f"w{rnd.randrange(10**6)}"
+    return out
+
+
+def test_pairs_between_rays_leave_a_block_open():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        chain = [rnd.integers(0, 2**63, 100, dtype=np.uint64)]
+        for _ in range(rnd.integers(3, 6)):
+            chain.append(np.where(rnd.random(100) < 0.08, rnd.integers(0, 2**63, 100, dtype=np.uint64), chain[-1]))
+        points = [jaccard.point(chain[i]) for i in rnd.permutation(len(chain))]
+        bound = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if i < j and np.minimum(p, q).sum() >= jaccard.needed(100, 100, 90, 100)}
+        pairs, rest = jaccard.stars(points, 90, 100)
+        assert set(pairs) <= bound and {x for p in pairs for x in p} == {x for p in bound for x in p}
+        assert rest or set(pairs) == bound
+
+
+def test_chains_of_revisions(spark):
+    rnd, data = random.Random(7), []
+    for i in range(600):
+        data += [(len(data) + j, t) for j, t in enumerate(revisions(rnd, 4 + i % 3))]
+    assert rows(jaccard.clusters(documents(spark, data), 3, 90, 100)) == sorted(brute.jaccard_components(data, 3, 90, 100), key=repr)
+
+
 def test_tree_loses_nothing():
     rnd = np.random.default_rng(1)
     base = [np.unique(rnd.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(6)]
