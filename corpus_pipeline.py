@@ -24,14 +24,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id.
 
-    Rows without an id get one from their text, above all others; of rows with one id and the same or a linked text one
-    stays.
+    Groups are of texts. Rows without an id get one from their text, above all others; of rows with one id and the same or
+    a linked text one stays, and unlinked texts with one id all stay.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.withColumn("_key", own)
-    groups = jaccard.clusters(keyed.select(F.col("_key").alias("doc_id"), "text"), WORDS, SIMILARITY, 100)
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.withColumn("_key", own).withColumn("_text", jaccard.text_key(F.col("text")))
+    rows = jaccard.linked(keyed.select(F.col("_key").alias("doc_id"), "text"), WORDS, SIMILARITY, 100)
+    row = F.struct("doc_id", "key")
+    stay = rows.groupBy("component", F.when(F.col("component").isNull(), row).alias("alone")).agg(F.min(row).alias("row"))
+    stay = stay.select(F.col("row.doc_id").alias("_key"), F.col("row.key").alias("_text"))
+    return keyed.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

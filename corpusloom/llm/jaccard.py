@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, buffers, checkpoint, mix, release, slices, table
@@ -89,6 +89,11 @@ def prefix(s: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[:length]
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text, to tell rows with one doc_id (or none) apart; empty for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def needed(a, b, num: int, den: int):
     """The least overlap of linked sets of a and b tokens: the ceiling of num (a + b) / (num + den)."""
     return -(-num * (a + b) // (num + den))
@@ -291,8 +296,8 @@ def _signed(k: int, heavy, num: int, den: int):
                 ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
                 points = pa.array([packed(point(s)) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids, points, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))],
-                    ["doc_id", "n", "sid", "point", "tokens"],
+                    [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), ids, points, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))],
+                    ["doc_id", "key", "n", "sid", "point", "tokens"],
                 )
 
     return sign
@@ -454,7 +459,7 @@ def _blocks(num: int, den: int, labelled: bool):
 def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that reach the threshold. Sets are made again from the texts and travel once, to the middles of stars.
 
-    A star of many rays is dealt over salts, each of which gets the middle. ids: sid and a document that has it.
+    A star of many rays is dealt over salts, each of which gets the middle. ids: sid, and doc_id (least) and text key of a document that has it.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
     rays = pairs.join(salts, "a").select(F.col("b").alias("sid"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"))
@@ -465,10 +470,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: in
 
 def _fetched(roles: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The sets of all roles (sid, center, salt, ray, label), together by center and salt, rows that are no rays first."""
-    roles = roles.join(ids, "sid").groupBy("least").agg(F.collect_list(F.struct("sid", "center", "salt", "ray", "label")).alias("roles"))
+    roles = roles.join(ids, "sid").groupBy("least", F.col("key").alias("least_key")).agg(F.collect_list(F.struct("sid", "center", "salt", "ray", "label")).alias("roles"))
     roles = checkpoint(roles)
     few = roles.count() <= BROADCAST_IDS
-    both = docs.join(F.broadcast(roles) if few else roles, docs["doc_id"].eqNullSafe(roles["least"])).select("text", "roles")
+    both = docs.join(F.broadcast(roles) if few else roles, docs["doc_id"].eqNullSafe(roles["least"]) & (docs["key"] == roles["least_key"])).select("text", "roles")
     sets = both.mapInArrow(_cast(k), "center binary, salt long, ray boolean, sid binary, label binary, tokens binary")
     return sets.repartition("center", "salt").sortWithinPartitions("center", "salt", "ray")
 
@@ -502,17 +507,27 @@ def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int,
 
 def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """For each row of (doc_id, text): n_shingles, and component_id, the least doc_id that links lead to."""
+    return linked(df, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """clusters() with each row's text key and `component`, which is null for texts without shingles.
+
+    A component is of texts, so rows that share a doc_id can be in several.
+    """
     if not 0 < num <= den:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("key", text_key(F.col("text")))
     counted = docs.select("text").mapInArrow(_heavy(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(HEAVY_LEAST, int(HEAVY_ALL * docs.count()))
     tokens = np.sort(np.array([r["token"] for r in counted.filter(F.col("n") >= least).select("token").collect()], dtype=np.int64).view(np.uint64))
     heavy = spark.sparkContext.broadcast(tokens)
 
-    signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, n long, sid binary, point binary, tokens array<long>"))
-    unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("point").alias("point"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, key binary, n long, sid binary, point binary, tokens array<long>"))
+    unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.first("point").alias("point"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    unique = unique.select("sid", F.col("least.doc_id").alias("least"), F.col("least.key").alias("key"), "point", "tokens", "n")
     points = unique.select("sid", "point")
     by_size = Window.partitionBy("token").orderBy("n", "sid")
     posted = unique.select("sid", "n", F.explode("tokens").alias("token"))
@@ -530,7 +545,7 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     release(spark)
     tried = found.filter("token IS NULL").select("a", "b")
 
-    ids = unique.select("sid", "least")
+    ids = unique.select("sid", "least", "key")
     links = _verified(tried, docs, ids, k, num, den)
     release(spark)
     label = components(links, "a", "b")
@@ -551,9 +566,9 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     group = unique.select("sid", "least").join(label, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("component", "sid").alias("group"))
     ids = group.groupBy("group").agg(F.min("least").alias("component_id"))
-    ids = group.join(ids, "group").select("sid", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("_sid")).join(ids, F.col("_sid") == F.col("sid"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = group.join(ids, "group").select("sid", "group", "component_id")
+    out = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("sid").alias("_sid")).join(ids, F.col("_sid") == F.col("sid"), "left")
+    return out.select("doc_id", "key", "n_shingles", F.col("group").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:

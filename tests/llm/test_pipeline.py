@@ -75,6 +75,17 @@ def test_odd_rows(spark, sf):
     assert docs.count() >= 0
 
 
+def test_unlinked_texts_under_one_id(spark, sf):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(80))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (7, text("c")), (3, text("c") + " more"), (7, text("d") + " more"), (7, text("d")), (None, text("e")), (None, text("f")), (None, text("a")), (7, None), (7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, sf).collect()]
+    one_of = [r for r in got if r[1] and r[1].startswith("d0 ")]
+    assert len(one_of) == 1 and one_of[0][0] == 7
+    want = [(7, text("a")), (7, text("b")), (3, text("c") + " more"), (None, text("e")), (None, text("f")), (7, None), (7, "")]
+    assert sorted(got, key=repr) == sorted(want + one_of, key=repr)
+
+
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).columns[:2] == ["doc_id", "sample"]
 
