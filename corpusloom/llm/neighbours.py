@@ -172,7 +172,8 @@ def search(df: DataFrame, every: int = EVERY, top: int = TOP, parts: int = PARTS
     dim = max(set(sizes), key=sizes.count)
     x = np.array([r[0] for r in sample if len(r[0]) == dim])
     router = fit(np.unique(x, axis=0), parts)
-    rows = rows.filter(F.size("embedding") == dim)
+    # repeated rows go before ids are ranked, else they take the places of other ids
+    rows = rows.filter(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
 
     # equal vectors are one, with the ids that a list can show; ranked before they are gathered
     keyed = rows.withColumn("_k", F.xxhash64("embedding"))
@@ -197,7 +198,7 @@ def search(df: DataFrame, every: int = EVERY, top: int = TOP, parts: int = PARTS
     count = F.create_map(*[F.lit(v) for kv in sorted(blocks.items()) for v in kv])
     index = index.withColumn("block", F.pmod(F.xxhash64("embedding"), count[F.col("part")]).cast("int"))
 
-    asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"])
+    asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
     asked = asked.mapInPandas(route(router.visits), "vec_id long, embedding array<double>, part array<int>")
     asked = asked.withColumn("part", F.explode("part")).filter(F.map_contains_key(count, F.col("part")))
     asked = checkpoint(asked.withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("part")] - 1))))

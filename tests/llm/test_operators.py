@@ -346,6 +346,11 @@ def test_few_vectors(spark):
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 1.5)]
 
 
+def test_repeated_rows_take_no_places(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(2, 8)] + [(20, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert rows(neighbours.search(df).select("query_id", "rank", "vec_id")) == [(20, i, i) for i in range(1, 8)]
+
+
 def test_parts_are_balanced():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(640, 8)))
     near = neighbours.nearest(x, x, 11)[:, 1:]
