@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out by Poisson counts towards the target shares of their sources, and shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, apart=True).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ inverse of the distribution. Large means are sums of several parts of mean PART_
 copies are ordered by a hash of (seed, id, copy): a global shuffle by one range exchange.
 
 Defined cases: a null source is a source of its own, named ``(none)``; rows whose id and text are equal to another row's
-get the same number of copies; an empty table gives an empty result; columns other than doc_id and source are carried
+get the same number of copies, and so do rows with one id, or none, and different texts, unless ``apart`` is asked for,
+which makes every row's count and places its own (op5 follows its SQL, which hashes ids only); an empty table gives an empty result; columns other than doc_id and source are carried
 unchanged (those named ``copy`` or ``mix_key`` are replaced).
 """
 
@@ -17,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 SEED = 17
 #: Share of a source without a stated weight: its number of rows to this power, then scaled to 1 in all.
@@ -26,7 +27,7 @@ FLATTEN = 0.5
 GROWTH = 1.0
 #: Largest mean that is inverted at once; its distribution ends before MOST.
 PART_MEAN, MOST = 8.0, 64
-#: A table of sources this small is broadcast; a larger one is joined by shuffle, on salted keys.
+#: A table of sources, or of ids and texts that repeat, this small is broadcast; a larger one is joined by shuffle, on salted keys.
 BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
@@ -72,23 +73,42 @@ def copies(row_key: Column, parts: Column, cdf: Column, seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, part: acc + one(part))
 
 
-def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, flatten: float = FLATTEN, growth: float = GROWTH) -> DataFrame:
-    """df with each row repeated by its Poisson count, `copy` from 1, in the order of `mix_key`."""
+def told_apart(df: DataFrame) -> DataFrame:
+    """df with `_key`: id and text hash, and for rows that are equal in both a number of their own.
+
+    The numbers depend on how rows lie in partitions, so they are fixed by a checkpoint.
+    """
+    df = df.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit(""))))
+    repeated = checkpoint(df.groupBy("_key").agg(F.count(F.lit(1)).alias("_again")).filter("_again > 1"))
+    some = len(repeated.select("_key").take(BROADCAST_SOURCES + 1))
+    if not some:
+        return df
+    df = df.join(F.broadcast(repeated) if some <= BROADCAST_SOURCES else repeated, "_key", "left")
+    number = F.when(F.col("_again").isNotNull(), F.monotonically_increasing_id().cast("string"))
+    return checkpoint(df.withColumn("_key", F.concat_ws(":", "_key", number)).drop("_again"))
+
+
+def mix(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, flatten: float = FLATTEN, growth: float = GROWTH, apart: bool = False) -> DataFrame:
+    """df with each row repeated by its Poisson count, `copy` from 1, in the order of `mix_key`.
+
+    apart: draws and order are by id, text and, for rows equal in both, a number; else by id only.
+    """
     df = df.drop("copy", "mix_key")
     plan = means(df, weights, flatten, growth)
     parts = F.greatest(F.lit(1), F.ceil(F.col("mean") / PART_MEAN).cast("int"))
     plan = plan.withColumn("_parts", parts).withColumn("_cdf", distribution(F.col("mean") / F.col("_parts")))
     plan = plan.select(F.col("source").alias("_source"), "_parts", "_cdf")
-    rows = df.withColumn("_source", F.coalesce(F.col("source"), F.lit("(none)")))
+    rows = told_apart(df) if apart else df.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = rows.withColumn("_source", F.coalesce(F.col("source"), F.lit("(none)")))
     if len(plan.select("_source").take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(plan), "_source")
     else:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         rows = rows.join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_source", "_salt"]).drop("_salt")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.col("_key")
     rows = rows.withColumn("_n", copies(key, F.col("_parts"), F.col("_cdf"), seed)).filter("_n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_source", "_parts", "_cdf", "_n")
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), key, F.col("copy").cast("string"))))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), key, F.col("copy").cast("string")))).drop("_key")
     return rows.orderBy("mix_key", "doc_id", "copy")
 
 

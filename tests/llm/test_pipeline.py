@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import brute
@@ -86,6 +87,17 @@ def test_unlinked_texts_under_one_id(spark, sf):
     assert sorted(got, key=repr) == sorted(want + one_of, key=repr)
 
 
+def test_rows_without_ids_are_mixed_one_by_one(spark, sf):
+    rows = [(None, f"null {i}", "null") for i in range(2000)] + [(5, f"five {i}", "five") for i in range(2000)] + [(None, "same", "same")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    got = [(r["lang"], r["text"]) for r in pipeline.mix_sources(spark, docs, sf).collect()]
+    for name in ("null", "five", "same"):
+        assert abs(sum(g[0] == name for g in got) - 2000) < 5 * 2000**0.5
+    for name in ("null", "five"):
+        assert len(set(Counter(g for g in got if g[0] == name).values())) > 2
+    assert sum(a[0] == b[0] for a, b in zip(got, got[1:])) < 0.4 * len(got)
+
+
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).columns[:2] == ["doc_id", "sample"]
 
