@@ -7,19 +7,23 @@ their lengths gives code-point positions. Patterns:
     access  AKIA and upper-case letters or digits, 18 characters or more
     hex     16 or more of 0-9a-f
 
-The method adds ``entropy``: candidate strings of CANDIDATE characters that overlap no span above. A window of WINDOW
-characters slides over the candidate; the counts of its characters and the sum of c * log2 c over them are updated by
-the character that comes in and the one that goes out, so each step costs the same. A candidate is a span if its largest
-window entropy reaches the threshold of its class (hex: 16 symbols without case; base64: 64 symbols and padding), unless
-an allow-list pattern fits all of it.
-
-Defined cases: null text is empty and has no spans; a text of any length is scanned whole; repeated rows are scanned
-alike; an empty table gives an empty result; further columns are ignored (`redact` keeps them).
+The method adds ``entropy``: candidates are runs of 20 or more of CANDIDATE's characters in what the spans above leave
+of a text. A window of WINDOW characters slides over a candidate; the count of the character that comes in goes up by
+one, that of the one that goes out down by one, and so the sum of c * log2 c over the counts changes by two differences.
+A candidate is a span if its largest window entropy reaches the threshold of its class (hex: 16 symbols without case;
+base64: 64 symbols and padding), unless the allow-list suppresses it. Stated example words are cut out of a candidate
+first, and what they leave is judged.
+
+Running sums are folded in blocks of BLOCK places, as a fold that appends to one long array copies it at every step.
+
+Defined cases: null text is empty and has no spans; a text of any length, with any number of matches, is scanned whole;
+repeated rows are scanned alike; an empty table gives an empty result; further columns are ignored (`redact` keeps them).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,67 +45,133 @@ CLASSES = {
     "hex": (r"^[0-9A-Fa-f]+$", "0123456789abcdef", 3.0),
     "base64": (r"^.", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
 }
-#: Candidates that one of these fits are no secrets: words joined by signs, numbers and dates, UUIDs, stated examples.
-ALLOWED = (
-    r"^[A-Za-z]*(?:[+/_=-]+[A-Za-z]*)*$",
-    r"^[0-9]*(?:[+/_=-]+[0-9]*)*$",
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|placeholder|changeme|xxxxxx",
-    r"^[A-Za-z]+(?:[/_-][A-Za-z]+)*[/_=-]?[0-9]{1,8}$",
-)
-
+#: Words of stated examples: they are no part of a secret.
+EXAMPLES = r"(?i)example|placeholder|changeme|xxxxxx"
+#: Candidates that one of these fits are no secrets: numbers and dates, UUIDs.
+ALLOWED = (r"^[0-9+/_=-]*$", r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")
+#: Nor are words joined by signs, with a number of up to 8 digits at the end: these are what each run of letters must be.
+NUMBER, LETTERS, WORD = r"[/_=-]?[0-9]{1,8}$", r"^[A-Za-z+/_=-]*$", r"^(?:[A-Z]*|[a-z]*(?:[A-Z][a-z]{2,}+)*+)$"
+
+#: Places that a running fold handles at once.
+BLOCK = 64
 _SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], size: Column) -> Column:
+    """For each place the join, from zero on, of all values before it, and at the end that of all. Values are ints, size their number."""
+
+    def fold(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x)))
+
+    def blocks(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), join))
+        whole = let(fold(totals, F.lit(0)), lambda starts: F.transform(parts, lambda p, i: F.slice(fold(p, starts[i]), F.lit(1), F.size(p))))
+        return F.concat(F.flatten(whole), F.array(F.aggregate(totals, F.lit(0), join)))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(size == 0, F.array(F.lit(0))).when(size <= BLOCK, fold(values, F.lit(0))).otherwise(let(cut, blocks))
+
+
 def matches(text: Column, pattern: str, kind: int, guard: Column | None = None) -> Column:
     """The spans of all leftmost, non-overlapping matches. guard: where it is false there can be none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pair = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+    def spans(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match"), F.length(m).alias("n")))
+        return let(steps, lambda x: F.zip_with(x, F.slice(running(F.transform(x, lambda s: s["gap"] + s["n"]), lambda a, b: a + b, F.size(x)), F.lit(1), F.size(x)), span))
+
+    def span(step: Column, at: Column) -> Column:
+        begin = at + step["gap"]
+        return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + step["n"]).alias("end"), step["match"].alias("match"))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+    return F.when(text.rlike(pattern) if guard is None else guard & text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def without(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """text with what the spans (by start) cover replaced. mark: of the number of characters that a span covers and no earlier one does.
+
+    The text is first cut before every BLOCK-th span, so that a cut never runs over all that precedes it.
+    """
+
+    def parts(reach: Column) -> Column:
+        n = F.size(spans)
 
-    spans = F.aggregate(pair, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern) if guard is None else guard & text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+        def block(b: Column) -> Column:
+            lo, last = b * BLOCK, F.least(n, (b + 1) * BLOCK) - 1
+            return let(F.substring(text, reach[lo] + 1, reach[last + 1] - reach[lo]), lambda piece: F.array_join(F.transform(F.sequence(lo, last), lambda i: one(piece, reach[lo], i)), ""))
+
+        def one(piece: Column, base: Column, i: Column) -> Column:
+            begin, end = F.greatest(spans[i]["start"], reach[i]), reach[i + 1]
+            return F.concat(F.substring(piece, reach[i] - base + 1, begin - reach[i]), F.when(spans[i]["start"] >= reach[i], mark(end - begin)).otherwise(mark_more(end - begin)))
+
+        head = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block), "")
+        return F.concat(head, F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    mark_more = mark if mark is blank else lambda n: F.lit("")
+    ends = F.transform(spans, lambda s: s["end"])
+    return F.when(F.size(spans) == 0, text).otherwise(let(running(ends, lambda a, b: F.greatest(a, b), F.size(spans)), parts))
+
+
+def blank(n: Column) -> Column:
+    return F.repeat(F.lit(" "), n)
 
 
 def entropy(s: Column, symbols: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of the windows of s; 0 if it is shorter than one."""
-    places = F.transform(F.split(s, ""), lambda c: F.when(c == "", F.lit(-1)).otherwise(F.instr(F.lit(symbols), c) - 1))
-    places = F.filter(places, lambda p: p >= 0)
+    """The largest Shannon entropy, in bits a character, of the windows of s; 0 if it is shorter than one.
+
+    The counts are a string with one character for each symbol, of which a step overwrites two.
+    """
+    places = F.transform(F.split(s, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(symbols), c)))
+    places = F.filter(places, lambda p: p > 0)  # from 1
     part = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])  # c * log2 c
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(symbols)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"),
-        F.lit(0).alias("i"),
-    )
+    zero = 65
+    has = lambda counts, p: F.ascii(F.substring(counts, p, F.lit(1))) - zero
+    put = lambda counts, p, n: F.overlay(counts, F.char(n + zero), p, F.lit(1))
+    start = F.struct(F.lit(chr(zero) * len(symbols)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
 
     def over(at: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            gone = F.when(acc["i"] >= window, at[F.greatest(acc["i"] - window, F.lit(0))]).otherwise(-1)
-            has = acc["counts"][p]
-            left = F.when(gone >= 0, acc["counts"][F.greatest(gone, F.lit(0))] + F.when(gone == p, 1).otherwise(0)).otherwise(0)
-            total = acc["sum"] + part[has + 1] - part[has] + F.when(gone >= 0, part[F.greatest(left - 1, F.lit(0))] - part[left]).otherwise(0.0)
-            counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == p, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0))
+        def enter(acc: Column, p: Column) -> Column:
+            gone = F.get(at, acc["i"] - window)
+
+            def leave(n: Column) -> Column:
+                return F.struct((part[n - 1] - part[n]).alias("d"), put(acc["counts"], gone, n - 1).alias("counts"))
+
+            same = F.struct(F.lit(0.0).alias("d"), acc["counts"].alias("counts"))
+            return let(F.when(acc["i"] < window, same).otherwise(let(has(acc["counts"], gone), leave)), lambda x: let(has(x["counts"], p), lambda n: step(acc, x, p, n)))
+
+        def step(acc: Column, left: Column, p: Column, n: Column) -> Column:
+            total = acc["sum"] + left["d"] + part[n + 1] - part[n]
             best = F.when(acc["i"] + 1 >= window, F.greatest(acc["best"], math.log2(window) - total / window)).otherwise(acc["best"])
-            return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"), (acc["i"] + 1).alias("i"))
+            return F.struct(put(left["counts"], p, n + 1).alias("counts"), total.alias("sum"), best.alias("best"), (acc["i"] + 1).alias("i"))
+
+        return F.aggregate(at, start, enter, lambda acc: acc["best"])
+
+    return let(places, over)
 
-        return F.aggregate(at, start, step, lambda acc: acc["best"])
 
-    return F.element_at(F.transform(F.array(places), over), 1)
+def allowed(s: Column) -> Column:
+    """Whether a candidate is a number, a date, a UUID, or words joined by signs with a short number at the end."""
+    plain = F.regexp_replace(s, NUMBER, "")
+    words = plain.rlike(LETTERS) & F.forall(F.split(plain, "[^A-Za-z]+"), lambda w: w.rlike(WORD))
+    return reduce(lambda a, b: a | b, [s.rlike(p) for p in ALLOWED]) | words
 
 
-def secret_like(s: Column) -> Column:
-    """Whether a candidate string reaches the entropy of its class and no allow-list pattern fits it."""
-    allowed = reduce(lambda a, b: a | b, [s.rlike(p) for p in ALLOWED])
-    found = F.lit(False)
-    for fits, symbols, least in reversed(CLASSES.values()):
-        word = F.lower(s) if symbols.islower() or "a" in symbols and "A" not in symbols else s
-        found = F.when(s.rlike(fits), entropy(word, symbols) >= least).otherwise(found)
-    return F.when(allowed, F.lit(False)).otherwise(found)
+def secret_like(candidate: Column) -> Column:
+    """Whether a candidate string, without words of examples, reaches the entropy of its class and is not allowed."""
+
+    def judged(s: Column) -> Column:
+        found = F.lit(False)
+        for fits, symbols, least in reversed(CLASSES.values()):
+            word = F.lower(s) if symbols.islower() or "a" in symbols and "A" not in symbols else s
+            found = F.when(s.rlike(fits), entropy(word, symbols) >= least - 1e-9).otherwise(found)
+        return F.when(allowed(s), F.lit(False)).otherwise(found)
+
+    return let(F.regexp_replace(candidate, EXAMPLES, ""), judged)
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -110,9 +180,8 @@ def scan(df: DataFrame) -> DataFrame:
     assign = F.filter(matches(text, ASSIGN, 0), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= LEAST_VALUE)
     df = df.withColumn("_assign", assign).withColumn("_access", matches(text, ACCESS, 1, text.contains("AKIA"))).withColumn("_hex", matches(text, HEX, 2))
     df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    df = df.withColumn("_candidates", matches(text, CANDIDATE, 3))
-    clear = F.filter("_candidates", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    df = df.withColumn("_added", F.filter(clear, lambda c: secret_like(c["match"])))
+    df = df.withColumn("_rest", without(text, F.col("_base"), blank))
+    df = df.withColumn("_added", F.filter(matches(F.col("_rest"), CANDIDATE, 3), lambda c: secret_like(c["match"])))
     return df.withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
 
 
@@ -125,15 +194,7 @@ def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by a mark (overlapping spans by one), and n_chars to match if there is one."""
     names = df.columns
     text = F.col("text").cast("string")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        out = F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(df).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text))
+    out = scan(df).withColumn("text", F.when(F.size("_spans") > 0, without(text, F.col("_spans"), lambda n: F.lit(mark))).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names)

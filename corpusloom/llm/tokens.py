@@ -11,8 +11,12 @@ is allocated by a stated rule:
 - ``any``: to every field that holds part of it
 - ``share``: to each field in proportion to its characters inside (a fractional count)
 
-A token may hold part of a character; it then spans that character. Null text has no fields and no tokens; an empty text
-has one empty field by `line_fields`; repeated rows are counted alike; further columns are ignored.
+A token may hold part of a character; it then spans that character.
+
+Defined cases: null text has no fields and no tokens; an empty text has one empty field by `line_fields`; a text of any
+length is encoded whole (runs of white space of LONG_SPACE characters and more are encoded apart, where the vocabulary's
+pattern cuts anyway, as its matcher runs out of stack on them: the tokens are the same); an empty table gives an empty
+result; repeated rows are counted alike; further columns are ignored.
 
 The vocabulary is a parameter: a tiktoken rank file that the driver reads and ships (about 1 MB whatever the input).
 """
@@ -20,6 +24,7 @@ The vocabulary is a parameter: a tiktoken rank file that the driver reads and sh
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +39,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts a text before merging: fixed, it comes with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as that pattern has it; shorter runs are left to the encoder.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = 10_000
+
 SCHEMA = "doc_id long, field int, start long, end long, tokens double, crossing long, doc_tokens long"
 
 _CODECS: dict[int, tuple] = {}
@@ -59,7 +68,14 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         codec, _ = self._ready()
-        return np.asarray(codec.encode_ordinary(text), dtype=np.int64)
+        parts, at = [], 0
+        for run in re.finditer(f"[{SPACES}]{{{LONG_SPACE},}}", text) if len(text) >= LONG_SPACE and self.pattern == PATTERN else ():
+            # the pattern takes a run as one piece, but for its last character if something follows
+            end = run.end() - (run.end() < len(text))
+            parts += [codec.encode_ordinary(text[at : run.start()]), codec._encode_single_piece(text[run.start() : end])]
+            at = end
+        parts.append(codec.encode_ordinary(text[at:]))
+        return np.asarray(parts[0] if len(parts) == 1 else [t for p in parts for t in p], dtype=np.int64)
 
     def spans(self, text: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last. data: the bytes of the text."""

@@ -100,7 +100,22 @@ def quality(text: str | None, most: dict[int, float], most_lines: float, most_sy
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def secret_spans(text: str | None, classes: dict, allowed: tuple, window: int) -> tuple[list, list]:
+def is_allowed(s: str) -> bool:
+    if re.fullmatch(r"[0-9+/_=-]*", s) or re.fullmatch(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", s):
+        return True
+    plain = re.sub(r"[/_=-]?[0-9]{1,8}$", "", s, count=1)
+    if not re.fullmatch(r"[A-Za-z+/_=-]*", plain):
+        return False
+    # a run of letters in one case, or of small letters and then capitalised words of three letters or more
+    for run in re.findall(r"[A-Za-z]+", plain):
+        if not run.isupper():
+            humps = [len(h) for h in re.findall(r"[A-Z][a-z]*", run)]
+            if any(h < 3 for h in humps):
+                return False
+    return True
+
+
+def secret_spans(text: str | None, classes: dict, window: int) -> tuple[list, list]:
     """Base spans and all spans as (start, kind, end)."""
     import math
 
@@ -108,6 +123,9 @@ def secret_spans(text: str | None, classes: dict, allowed: tuple, window: int) -
     base = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    left = list(text)
+    for a, _, b in base:
+        left[a:b] = " " * (b - a)
 
     def entropy(s: str, symbols: str) -> float:
         s = [c for c in s if c in symbols]
@@ -120,11 +138,12 @@ def secret_spans(text: str | None, classes: dict, allowed: tuple, window: int) -
         return best
 
     more = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        if any(a < m.end() and m.start() < b for a, _, b in base) or any(re.search(p, m[0]) for p in allowed):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(left)):
+        word = re.sub(r"example|placeholder|changeme|xxxxxx", "", m[0], flags=re.IGNORECASE)
+        if not word or is_allowed(word):
             continue
-        fits, symbols, least = next(c for c in classes.values() if re.search(c[0], m[0]))
-        if entropy(m[0].lower() if "A" not in symbols else m[0], symbols) >= least - 1e-9:
+        _, symbols, least = next(c for c in classes.values() if re.search(c[0], word))
+        if entropy(word.lower() if "A" not in symbols else word, symbols) >= least - 1e-9:
             more.append((m.start(), 3, m.end()))
     return sorted(base), sorted(base + more)
 
