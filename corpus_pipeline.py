@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents.
+
+Defined cases, for all stages: an empty table gives an empty one; texts of any length are handled whole; columns other
+than doc_id, text, source and n_chars are carried unchanged, whatever their names; rows that are equal in all columns are
+rows like others, but for the second stage, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ WORDS, SIMILARITY = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go. Null and empty texts have no words and go."""
     return quality.judge(docs)
 
 
@@ -25,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates stays: the one with the least id.
 
     Groups are of texts. Rows without an id get one from their text, above all others; of rows with one id and the same or
-    a linked text one stays, and unlinked texts with one id all stay.
+    a linked text one stays, and unlinked texts with one id all stay. Texts without words are linked with nothing; of
+    those that are equal and have one id, or none, one stays.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.withColumn("_key", own).withColumn("_text", jaccard.text_key(F.col("text")))
@@ -37,17 +42,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
+    """Secrets are replaced by a mark; documents stay. A null text stays null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by Poisson counts towards the target shares of their sources, and shuffled."""
-    return mixing.mix(docs, apart=True).select(*docs.columns)
+    """Documents are repeated or left out by Poisson counts towards the target shares of their sources, and shuffled.
+
+    Null sources are one source; every row has a draw of its own, with or without an id.
+    """
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each document, as piece ids with inclusion scores."""
+    """Two distinct sampled segmentations of each document, as piece ids with inclusion scores.
+
+    A null text gives no rows, a text with one segmentation one. Rows with equal ids and texts get equal samples.
+    """
     return pieces.encode(docs, pieces.load())
 
 
