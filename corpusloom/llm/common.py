@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; one longer text is handled whole.
 SLICE_BYTES = 1 << 20
@@ -38,6 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns (those that it has), and all others in one struct, `_carried`, where their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*(c for c in df.columns if c in names), *([F.struct(*others).alias("_carried")] if others else []))
+
+
+def restored(columns: list[str], *names: str) -> list[Column]:
+    """The columns that `carried` was given, in their order."""
+    return [F.col(f"`{c}`") if c in names else F.col("_carried").getField(c).alias(c) for c in columns]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the folder that all executors share; a lost executor loses nothing of it."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, restored, table
 
 #: The base patterns: fixed by contract. The first has its value in group 2.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -192,12 +192,12 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by a mark (overlapping spans by one), and n_chars to match if there is one."""
-    names = df.columns
+    names, own = df.columns, ("text", "n_chars")
     text = F.col("text").cast("string")
-    out = scan(df).withColumn("text", F.when(F.size("_spans") > 0, without(text, F.col("_spans"), lambda n: F.lit(mark))).otherwise(text))
+    out = scan(carried(df, *own)).withColumn("text", F.when(F.size("_spans") > 0, without(text, F.col("_spans"), lambda n: F.lit(mark))).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return out.select(*restored(names, *own))
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,28 @@ def test_mixing_reaches_the_targets(spark):
         mixing.mix(df, {"big": -1})
 
 
+def test_rows_are_drawn_one_by_one(spark, monkeypatch):
+    """Rows without an id, with one id, and equal in all columns: by SQL, and none as a block with others."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    data = [(None, f"null {i}", "a") for i in range(400)] + [(5, f"five {i}", "b") for i in range(400)] + [(None, "same", None)] * 400 + [(6, "same", "c")] * 100 + [(7, None, "c"), (7, "", "c"), (7, "", None), (7, "", ""), (7, None, "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    c = duckdb.connect()
+    documents = df.toPandas().astype({"doc_id": "Int64"})
+    c.register("frame", documents)
+    c.sql("CREATE TABLE documents AS SELECT * FROM frame")
+    want = Counter(c.sql(mixing.SQL).select("doc_id, source, copy, mix_key, text").fetchall())
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        out = mixing.mix(df).select("doc_id", "source", "copy", "mix_key", "text").collect()
+        assert Counter(map(tuple, out)) == want
+    keys = [r["mix_key"] for r in out]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert len({n for n in Counter(r["text"] for r in out if r["source"] == "a").values()}) > 2
+    assert sum(r["text"] == "same" and r["doc_id"] is None for r in mixing.mix(df, {"(none)": 1.0}).collect()) > 0.7 * len(data)
+
+
 def test_mixing_odd_rows(spark, monkeypatch):
     df = documents(spark)
     got = rows(mixing.mix(df).select("doc_id", "source", "copy", "mix_key", "lang"))

@@ -66,14 +66,20 @@ def test_tokens(stages):
 
 def test_odd_rows(spark, sf):
     text = " ".join(f"word{i}" for i in range(80))
-    rows = [(None, text, None, None, None), (None, text, "x", "s", 1), (1, text + " more", None, "s", 1), (1, text, None, "s", 1), (2, None, None, None, None), (3, "", "", "", 0), (4, text.upper()[::-1], None, "t", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in pipeline.STAGES[:2]:
+    secret = "token=abcdefghijklmnop"
+    rows = [(None, text, None, None, None), (None, text, "x", "s", 1), (1, text + " more", None, "s", 1), (1, text, None, "s", 1), (2, None, None, None, None), (3, "", "", "", 0), (4, f"{text.upper()[::-1]} {secret}", None, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_key", F.lit("clash"))
+    seen = []
+    for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf)
-    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 4]
-    for _, stage in pipeline.STAGES[2:]:
-        docs = stage(spark, docs, sf)
-    assert docs.count() >= 0
+        seen.append(docs.collect())
+    assert sorted((r["doc_id"] or 0) for r in seen[0]) == [0, 0, 1, 1, 4]
+    assert sorted(r["doc_id"] for r in seen[1]) == sorted(r["doc_id"] for r in seen[2]) == [1, 4]
+    assert [r["text"] for r in seen[2] if r["doc_id"] == 4] == [text.upper()[::-1] + " [SECRET]"]
+    times = Counter(r["doc_id"] for r in seen[3])
+    assert set(times) <= {1, 4} and all(r["_key"] == "clash" for s in seen[:4] for r in s)
+    # two distinct samples of each copy
+    assert Counter(r["doc_id"] for r in seen[4]) == {d: 2 * n for d, n in times.items()} and {r["sample"] for r in seen[4]} <= {1, 2}
 
 
 def test_unlinked_texts_under_one_id(spark, sf):
