@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard, mixing, pieces, quality, secrets
-from corpusloom.llm.common import table
+from corpusloom.llm.common import carried, restored, table
 
 #: Near duplicates: shingles of so many words, and least similarity in percent.
 WORDS, SIMILARITY = 5, 80
@@ -33,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     those that are equal and have one id, or none, one stays.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.withColumn("_key", own).withColumn("_text", jaccard.text_key(F.col("text")))
+    keyed = carried(docs, "doc_id", "text").withColumn("_key", own).withColumn("_text", jaccard.text_key(F.col("text")))
     rows = jaccard.linked(keyed.select(F.col("_key").alias("doc_id"), "text"), WORDS, SIMILARITY, 100)
     row = F.struct("doc_id", "key")
     stay = rows.groupBy("component", F.when(F.col("component").isNull(), row).alias("alone")).agg(F.min(row).alias("row"))
     stay = stay.select(F.col("row.doc_id").alias("_key"), F.col("row.key").alias("_text"))
-    return keyed.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    return keyed.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*restored(docs.columns, "doc_id", "text"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
