@@ -1,7 +1,7 @@
 """What the training-data operators share: reading tables, checkpoints, text buffers and hashes in numpy.
 
 Hashes are 64-bit polynomials over bytes whose prefix sums are kept, so the hash of any byte range costs two look-ups;
-they are only used where a collision is either checked afterwards or has odds below 1e-9 over the whole corpus.
+within one text a collision has odds far below 1e-9; what is decided between texts goes by 128 bits or is checked.
 """
 
 from __future__ import annotations
@@ -50,22 +50,31 @@ def restored(columns: list[str], *names: str) -> list[Column]:
     return [F.col(f"`{c}`") if c in names else F.col("_carried").getField(c).alias(c) for c in columns]
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only a local session, such as tests have, gets one of its own where neither is set; a cluster has to name one.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return base or held.get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df in the folder that all executors share; a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        # only local sessions, such as tests, leave it unset
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share, for a table that several steps read."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="loom-shared-")
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    return f"{shared(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
 def release(spark: SparkSession) -> None:
@@ -161,20 +170,25 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
+        self._rolled: tuple[np.ndarray, np.ndarray] | None = None
 
     def hashes(self) -> np.ndarray:
         return ranges(self.data, self.start, self.end)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The number of the first word of each run of k words within a text, and the hash of the run."""
+        """The number of the first word of each run of k words within a text, and the rolling hash of the run.
+
+        The hash is a polynomial of the words' hashes; running sums of its terms roll it on by one word in one step.
+        """
         if len(hashes) < k:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         at = np.flatnonzero(self.doc[: len(self.doc) - k + 1] == self.doc[k - 1 :])
-        out = np.zeros(len(at), dtype=np.uint64)
-        for i in range(k):
-            out = (out ^ hashes[at + i]) * np.uint64(0xFF51AFD7ED558CCD)
-            out ^= out >> np.uint64(29)
-        return at, mix(out)
+        if self._rolled is None or self._rolled[0] is not hashes:
+            total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+            np.cumsum(hashes * powers(_BASE, len(hashes)), out=total[1:])
+            self._rolled = hashes, total
+        total = self._rolled[1]
+        return at, mix((total[at + k] - total[at]) * powers(_UNBASE, len(hashes) + 1)[at])
 
 
 def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

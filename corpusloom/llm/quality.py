@@ -1,14 +1,14 @@
 """Quality rules: repetition coverage of words, n-grams and lines.
 
-Whole texts are handled in numpy, many at once: words get 64-bit hashes, runs of n words get hashes rolled from those,
-and runs that occur twice or more within a text cover characters. The verdict rejects a text of which repeated runs of
+Whole texts are handled in numpy, many at once: words get 64-bit hashes, runs of n words get rolling hashes of those, and
+runs that occur twice or more within a text cover characters; lines are hashed as byte ranges. The verdict rejects a text of which repeated runs of
 5, 7 or 10 words, or repeated lines, cover too large a share of the word characters.
 
 Fixed limits of the verdict (shares of a text's word characters, first occurrence included):
     lines 0.40, 5 words 0.45, 7 words 0.42, 10 words 0.40; symbols for each word 0.2
 
-Defined cases: null or empty text has no words and fails the base rule; ties and repeated rows are judged alike; an empty
-table gives an empty result; further columns are ignored (``judge`` keeps them).
+Defined cases: null or empty text has no words and fails the base rule; a text of any length is measured whole; ties and
+repeated rows are judged alike; an empty table gives an empty result; further columns are ignored (``judge`` keeps them).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, covered, repeated, slices, sums, table
+from .common import SPACE, Words, buffers, covered, mix, ranges, repeated, slices, sums, table
 
 #: Words of the base window, and least words of a text.
 BASE_WINDOW, LEAST_WORDS = 3, 50
@@ -39,25 +39,27 @@ SCHEMA = (
 )
 
 
-def _lines(text: str) -> tuple[int, int]:
-    """Lines with a word that equal an earlier one, and the word characters of all lines that occur twice or more."""
-    if "\n" not in text:
-        return 0, 0
-    lines = text.split("\n")
-    if len(set(lines)) == len(lines):
-        return 0, 0
-    times: dict[str, int] = {}
-    for line in lines:
-        times[line] = times.get(line, 0) + 1
-    copies = chars = 0
-    for line, n in times.items():
-        if n > 1 and (length := len(line.translate(_NO_SPACE))):
-            copies += n - 1
-            chars += n * length
-    return copies, chars
-
-
-_NO_SPACE = dict.fromkeys([9, 10, 11, 12, 13, 32])
+def lines(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its lines with a word that equal an earlier one, and the word characters of all lines that occur twice or more.
+
+    letters: running sums, over bytes, of the characters that are no white space.
+    """
+    n = len(offsets) - 1
+    cuts = np.flatnonzero(data == 10)
+    start = np.sort(np.concatenate([offsets[:-1], cuts + 1]), kind="stable")
+    end = np.sort(np.concatenate([offsets[1:], cuts]), kind="stable")  # the i-th line begins at the i-th start and ends at the i-th end
+    chars = letters[end] - letters[start]
+    worded = np.flatnonzero(chars)
+    start, end, chars = start[worded], end[worded], chars[worded]
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    if not len(doc):
+        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    kind, times = np.unique(ranges(data, start, end) ^ mix(doc.astype(np.uint64)), return_inverse=True, return_counts=True)[1:]
+    again = times[kind] > 1
+    covered_chars = np.bincount(doc[again], chars[again], n).astype(np.int64)
+    first = np.zeros(len(times), dtype=np.int64)
+    first[kind] = doc
+    return np.bincount(first, times - 1, n).astype(np.int64), covered_chars
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -81,8 +83,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     total = np.maximum(out["word_chars"], 1)
     for k in MOST_COVERED:
         out[f"share_{k}"] = sums(np.where(inside(k), length, 0), words.first) / total
-    lines = np.array([_lines(t or "") for t in texts.to_pylist()], dtype=np.int64).reshape(-1, 2)
-    out["n_dup_lines"], out["line_share"] = lines[:, 0], lines[:, 1] / total
+    letters = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(((data & 0xC0) != 0x80) & ~SPACE[data], out=letters[1:])
+    out["n_dup_lines"], out["line_share"] = lines(data, offsets, letters)
+    out["line_share"] = out["line_share"] / total
     out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
     bad = out["base_failed"] | (out["line_share"] > MOST_LINES) | (out["n_symbols"] > MOST_SYMBOLS * out["n_words"])
     for k, most in MOST_COVERED.items():

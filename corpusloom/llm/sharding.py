@@ -5,11 +5,14 @@ into a place; shard and slot are the place modulo and divided by the number of s
 at most, slots have no gaps, the order is reproducible from the seed, and (shard, slot) of a row number can be computed
 without the table (`place`), as can the row number of a (shard, slot) pair (`row_at`).
 
-Row numbers without one big sort: rows go to buckets by hash, a small table of bucket sizes (`buckets` rows, whatever
-the input) gives each bucket's first number, and rows are ranked within their bucket.
-
-Defined cases: null text counts as no bytes; null ids are ordinary rows; equal rows get different places (they are
-interchangeable); an empty table gives an empty result; further columns are ignored.
+Row numbers without one big sort: equal rows are counted (aggregated before the shuffle) and numbered as a range; these
+ranges go to buckets by hash, a small table of bucket sizes (`buckets` rows, whatever the input) gives each bucket's first
+number, and ranges follow each other within their bucket. A range of any size is dealt out in blocks of BLOCK numbers, so
+that a group of equal rows is no task of its own.
+
+Defined cases: null text counts as no bytes, like empty text; null ids are ordinary rows; rows of one id and text are
+interchangeable and get different places; texts of any length count whole; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SEED = 20_260_101
 ROUNDS = 6
 #: Buckets of the row numbering: each is ranked by one task.
 BUCKETS = 4096
+#: Numbers of a range that are dealt out at once.
+BLOCK = 4096
 #: A walk that is still outside after so many steps fails the query (odds below 2 ** -STEPS each).
 STEPS = 128
 #: The modulus of the round function, 2 ** 31 - 1.
@@ -111,32 +116,35 @@ def permuted(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), x.cast("long"), walk, checked)
 
 
-def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """df with `row_no`, its rank from 0 by (hash of the order columns, order columns), and the number of rows."""
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """The order columns of df with `row_no`, each row's rank from 0 by (hash of the order columns, order columns), and the number of rows."""
+    df = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     # at most `buckets` rows, whatever the input: a fixed bound, so they may be ranked in one task and broadcast
-    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).collect()
+    counts = df.groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect()
     first, total = {}, 0
     for r in sorted(counts, key=lambda r: r["_bucket"]):
         first[r["_bucket"]] = total
         total += r["_n"]
     firsts = df.sparkSession.createDataFrame(sorted(first.items()), "_bucket long, _first long")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    out = df.withColumn("_rank", rank).join(F.broadcast(firsts), "_bucket").withColumn("row_no", F.col("_first") + F.col("_rank") - 1)
-    return out.drop("_bucket", "_rank", "_first"), total
+    before = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(firsts), "_bucket")
+    out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {block}"))))
+    if df.filter(F.col("_n") > block).take(1):
+        out = out.repartition(*order, "_block")
+    out = out.withColumn("_at", F.explode(F.sequence(F.col("_block") * block, F.least(F.col("_n"), (F.col("_block") + 1) * block) - 1)))
+    return out.select(*order, (F.col("_first") + F.col("_before") + F.col("_at")).alias("row_no")), total
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """row_no, shard and slot for each row of (doc_id, text), with size and CRC-32 of the text."""
+    """row_no, shard and slot for each row of (doc_id, text), with size, CRC-32 and a 64-bit hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows, n = numbered(rows, ["doc_id", "text_crc32", "size"])
+    rows = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    rows, n = numbered(rows, ["doc_id", "text_crc32", "size", "text_hash"])
     at = rows.withColumn("_place", permuted(F.col("row_no"), max(n, 1), seed))
     return at.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
-        F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "row_no",
-    )
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
+        F.expr(f"_place div {shards}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_no", "text_hash",
+    )
 
 
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

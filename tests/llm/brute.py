@@ -93,8 +93,9 @@ def quality(text: str | None, most: dict[int, float], most_lines: float, most_sy
     out["base_failed"] = out["n_words"] < 50 or 100 * out["n_repeat_words"] > 50 * out["n_words"]
     share = {k: sum(len(w) for w, x in zip(words, inside(k)) if x) / max(chars, 1) for k in most}
     line_share = sum(len(w) for line in lines if times[line] > 1 for w in WORD.findall(line)) / max(chars, 1)
+    shares = {"line_share": line_share} | {f"share_{k}": x for k, x in share.items()}
     out["kept"] = not (out["base_failed"] or line_share > most_lines or out["n_symbols"] > most_symbols * len(words) or any(share[k] > m for k, m in most.items()))
-    return out
+    return out | shares
 
 
 KINDS = ("assign", "access", "hex", "entropy")

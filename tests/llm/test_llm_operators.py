@@ -440,6 +440,14 @@ def test_permutation():
     assert sharding.row_at(*sharding.place(123, 1000), 1000) == 123
 
 
+def test_groups_of_equal_rows_are_dealt_in_blocks(spark):
+    df = spark.createDataFrame([(1, "a")] * 1000 + [(i % 7, "b") for i in range(50)] + [(None, None), (None, ""), (None, None)], "doc_id long, text string")
+    got, n = sharding.numbered(df, ["doc_id", "text"], 5, 16)
+    out = got.collect()
+    assert n == 1053 and sorted(r["row_no"] for r in out) == list(range(n))
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
 def test_shards(spark):
     data = ODD * 20
     out = sharding.shard(documents(spark, data)).collect()
@@ -456,14 +464,21 @@ def test_shards(spark):
 
 
 def test_quality_by_brute_force(spark, sf):
-    data = ODD + sample(spark, sf) + [(500, "\n".join(["a repeated line of some words"] * 30)), (501, " ".join(f"w{i}" for i in range(60))), (502, "a b c d e f g " * 9 + " ".join(f"w{i}" for i in range(200)))]
+    data = ODD + sample(spark, sf) + [(500, "\n".join(["a repeated line of some words"] * 30)), (501, " ".join(f"w{i}" for i in range(60))), (502, "a b c d e f g " * 9 + " ".join(f"w{i}" for i in range(200))), (503, "\n\nx\n \nx\né é\n\t\né é\né é"), (504, "x\n"), (505, "\nx"), (506, "l\n" * 20_000)]
     want = Counter()
     for d, t in data:
         want[(d, *brute.quality(t, quality.MOST_COVERED, quality.MOST_LINES, quality.MOST_SYMBOLS).values())] += 1
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_share", "share_5", "share_7", "share_10"]
     assert Counter(tuple(r) for r in quality.quality(documents(spark, data)).select(*names).collect()) == want
 
 
+def test_lines_of_other_texts_are_no_copies():
+    import pyarrow as pa
+
+    got = quality.measure(pa.array(["a\nb", "a\nb\na", None, "b", "", "\n"]))
+    assert got["n_dup_lines"].tolist() == [0, 1, 0, 0, 0, 0] and got["line_share"].tolist() == [0, 2 / 3, 0, 0, 0, 0]
+
+
 def test_judge_keeps_columns(spark, sf):
     df = documents(spark, sample(spark, sf))
     kept = {r["doc_id"] for r in quality.quality(df).filter("kept").collect()}
