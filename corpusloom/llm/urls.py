@@ -1,33 +1,45 @@
 """URL filters: stated host and path rules, and association rules mined by FP-growth. DataFrame functions only.
 
-A URL becomes a set of tokens (scheme, host labels, domain, path segments with digits made one sign, extension, query
-keys, fragment). Spark's FP-growth mines the combinations that go with a bad label among all labelled pages; rules
-pruned by support and confidence block a URL that holds all tokens of one. Rules are found through an inverted index
-that posts each rule under its rarest token.
+A URL becomes a set of tokens (scheme, labels below the domain, domain, top-level label, path segments with digits made
+one sign, extension, query keys, fragment). Spark's FP-growth mines the combinations that go with a bad label among all
+labelled pages.
+
+A combination is a rule if its share of bad pages is LIFT times that of all labelled pages or more, and if so many bad
+pages would be LEAST_Z standard deviations or more above what that share lets expect. Before mining, tokens that all
+pages have go, and of tokens that always occur together one stays, so that long runs of implied tokens do not multiply
+into all their subsets. Of two rules of which one holds all tokens of the other, one goes: the shorter one if its pages
+outside the longer one are no worse than average, as the longer one says it better; else the longer one, as the shorter
+one blocks what it would. A URL that holds all tokens of a rule is blocked. Rules are found through an inverted index that posts each rule under
+its rarest token.
 
 A stated rule fits its host and all subdomains if the path starts with the rule's path; the longest rule wins and goes
 before the mined ones.
 
-Defined cases: a null URL, or one without ``://``, has empty host and path and no tokens, and is allowed; pages whose
-labels are all null or missing are not mined; repeated pages are judged alike; empty labels mine no rules; further
-columns are ignored.
+Defined cases: a null URL, or one without ``://``, has empty host and path and no tokens, and is allowed; a URL of any
+length is judged whole; pages whose labels are all null or missing are not mined; repeated pages are judged alike; empty
+or one-sided labels mine no rules; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 #: Stated rules: verdict, and host with path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Least share of the labelled pages that hold a rule's tokens and are bad; least share of bad pages among its matches.
-SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Least share of the labelled pages that hold a rule's tokens and are bad. It bounds the tokens that FP-growth ranks on
+#: the driver: at most (tokens of a page / share). A bad group must have that share of the labelled pages to be found.
+SUPPORT = 0.002
 #: Least number of those pages, whatever their share.
-LEAST_PAGES = 20
+LEAST_PAGES = 5
+#: Least confidence in units of the share of bad pages, and least distance from chance in standard deviations.
+LIFT, LEAST_Z = 1.3, 2.0
 BAD = "label=bad"
 #: So many rules are put in the plan as constants; more are joined by shuffle.
 CONSTANT_RULES = 2_000
@@ -61,8 +73,9 @@ def url_tokens(url: Column) -> Column:
     shape = lambda x: F.regexp_replace(F.lower(x), r"[0-9]+", "#")
     parts = F.concat(
         named("scheme=", F.array(F.lower(scheme))),
-        named("host=", F.split(host, r"\.")),
+        named("below=", F.split(F.regexp_replace(host, r"\.?[^.]+\.[^.]+$", ""), r"\.")),
         named("domain=", F.array(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))),
+        named("top=", F.array(F.regexp_extract(host, r"([^.]+)$", 1))),
         named("path=", F.transform(F.split(path, "/"), shape)),
         named("file=", F.array(F.regexp_extract(F.lower(path), r"\.([a-z0-9]{1,5})$", 1))),
         named("query=", F.transform(F.split(tail, "&"), lambda x: F.lower(F.regexp_extract(x, r"^([^=]*)", 1)))),
@@ -79,21 +92,49 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.size("tokens") > 0).select(F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
 
 
-def mine(items: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_PAGES) -> DataFrame:
-    """Rules (rule_id, tokens, anchor, support, confidence): token sets whose pages are bad often enough.
+def telling(items: DataFrame, need: int, total: int) -> list[str]:
+    """The tokens of need pages or more but not of all, one (the first by name) of those that occur in the same pages.
+
+    At most (tokens of a page / SUPPORT) of them: a bound that does not grow with the pages.
+    """
+    each = items.withColumn("_h", F.xxhash64("items", F.monotonically_increasing_id())).select("_h", F.explode(F.array_remove("items", BAD)).alias("token"))
+    each = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("places"))
+    return sorted(r["token"] for r in each.filter((F.col("df") >= need) & (F.col("df") < total)).groupBy("df", "places").agg(F.min("token").alias("token")).collect())
+
+
+def mine(items: DataFrame, support: float = SUPPORT, lift: float = LIFT, least_z: float = LEAST_Z, least: int = LEAST_PAGES) -> DataFrame:
+    """Rules (rule_id, tokens, anchor, support, confidence, z), none of which holds another's tokens.
 
-    Anchor: the token of the
-    rule that the fewest labelled pages have (ties to the first by name).
+    Anchor: the token of the rule that the fewest labelled pages have (ties to the first by name).
     """
-    support = min(1.0, max(support, least / max(items.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    sets = model.freqItemsets.withColumn("items", F.array_sort("items"))
-    bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("bad"))
-    both = bad.join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens").withColumn("confidence", F.col("bad") / F.col("freq")).filter(F.col("confidence") >= confidence)
+    schema = "rule_id long, tokens array<string>, anchor string, support long, confidence double, z double"
+    total, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
+    need = max(least, math.ceil(support * total))
+    if not 0 < bad < total or bad < need:
+        return items.sparkSession.createDataFrame([], schema)
+    items = checkpoint(items)
+    known = telling(items, need, total)
+    if not known:
+        return items.sparkSession.createDataFrame([], schema)
+    kept = items.select(F.array_intersect("items", F.array(*map(F.lit, [*known, BAD]))).alias("items"))
+    sets = checkpoint(FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total).fit(kept).freqItemsets.withColumn("items", F.array_sort("items")))
+    share = bad / total
+    held = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("bad"))
+    both = held.join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens").withColumn("confidence", F.col("bad") / F.col("freq"))
+    z = (F.col("bad") - F.col("freq") * share) / F.sqrt(F.col("freq") * share * (1 - share))
+    both = both.withColumn("z", z).filter((F.col("confidence") >= lift * share) & (F.col("z") >= least_z))
     single = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("df"))
-    # itemsets of at least the stated support: at most 1 / support single tokens a page position, not growing with rows
-    ranked = both.withColumn("token", F.explode("tokens")).join(single, "token").groupBy("tokens", "bad", "confidence").agg(F.min(F.struct("df", "token"))["token"].alias("anchor"))
-    return ranked.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "anchor", F.col("bad").alias("support"), "confidence")
+    ranked = both.withColumn("token", F.explode("tokens")).join(single, "token").groupBy("tokens", "bad", "confidence", "z").agg(F.min(F.struct("df", "token"))["token"].alias("anchor"))
+    rules = checkpoint(ranked.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "anchor", F.col("bad").alias("support"), "confidence", "z", F.round(F.col("bad") / F.col("confidence")).alias("freq")))
+    # a rule that holds a shorter one meets it under that one's anchor
+    short = rules.select("anchor", F.col("tokens").alias("s_tokens"), F.col("support").alias("s_bad"), F.col("freq").alias("s_freq"))
+    pairs = rules.select("tokens", "support", "freq", F.explode("tokens").alias("anchor")).join(short, "anchor")
+    pairs = checkpoint(pairs.filter((F.size("s_tokens") < F.size("tokens")) & (F.size(F.array_except("s_tokens", "tokens")) == 0)))
+    rest_freq, rest_bad = F.col("s_freq") - F.col("freq"), F.col("s_bad") - F.col("support")
+    explained = pairs.filter((rest_freq > 0) & (rest_bad <= share * rest_freq)).select(F.col("s_tokens").alias("tokens")).distinct()
+    left = rules.join(explained, "tokens", "left_anti")
+    covered = pairs.join(left.select(F.col("tokens").alias("s_tokens")), "s_tokens", "left_semi").select("tokens").distinct()
+    return checkpoint(left.join(covered, "tokens", "left_anti").select(*(c.split()[0] for c in schema.split(", "))))
 
 
 def blocked_by(pages: DataFrame, rules: DataFrame, constant: int = CONSTANT_RULES) -> DataFrame:
@@ -117,10 +158,10 @@ def blocked_by(pages: DataFrame, rules: DataFrame, constant: int = CONSTANT_RULE
     return pages.join(found, F.col("_tokens") == F.col("_found"), "left").withColumn("mined", F.col("_found").isNotNull()).drop("_found")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, constant: int = CONSTANT_RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = SUPPORT, lift: float = LIFT, constant: int = CONSTANT_RULES) -> DataFrame:
     """page_id, host, path, the stated rule that decides, the verdict, and whether a mined rule matches."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    mined = mine(labelled(pages, labels), support, confidence)
+    mined = mine(labelled(pages, labels), support, lift)
     host, path = host_and_path(F.col("url"))
     found = blocked_by(pages.select("page_id", host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("_tokens")), mined, constant)
     rule, verdict = stated(F.col("host"), F.col("path"), rules)

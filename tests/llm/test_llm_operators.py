@@ -183,29 +183,63 @@ def test_stated_rules(spark, url, host, path, rule, verdict):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in out] == [(host, path, rule, verdict)] * 2
 
 
-def test_mined_rules_by_brute_force(spark):
-    rnd = random.Random(3)
-    made = [(i, f"http://{rnd.choice(['a', 'b', 'c'])}.{rnd.choice(['x', 'y'])}.io/{rnd.choice(['p', 'q', 'r'])}/{i}{rnd.choice(['.html', ''])}") for i in range(600)] + [(700, None)]
-    bad = lambda u: "//a." in u and "/p/" in u
-    labels = spark.createDataFrame([(i, 0 if bad(u) and rnd.random() < 0.9 else 1, 0) for i, u in made if u and i % 2 == 0] + [(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
-    pages = spark.createDataFrame(made, "page_id long, url string")
-    sets = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
-    flags = {r["doc_id"]: r["quality"] == 0 for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
-    seen, hits = Counter(), Counter()
+def mined_by_brute_force(sets, flags):
+    """Minimal rules, by counting all combinations of tokens."""
     import itertools
-
+    import math
+
+    seen, hits, total, bad = Counter(), Counter(), len(flags), sum(flags.values())
+    places = {}
+    for i in flags:
+        for t in sets[i]:
+            places.setdefault(t, set()).add(i)
+    need, share = max(urls.LEAST_PAGES, math.ceil(urls.SUPPORT * total)), bad / total
+    one_of = {}
+    for t in sorted(places):
+        if need <= len(places[t]) < total:
+            one_of.setdefault(frozenset(places[t]), t)
+    known = set(one_of.values())
     for i, is_bad in flags.items():
-        for n in range(1, len(sets[i]) + 1):
-            for c in itertools.combinations(sorted(sets[i]), n):
+        mine = sorted(sets[i] & known)
+        for n in range(1, len(mine) + 1):
+            for c in itertools.combinations(mine, n):
                 seen[c] += 1
                 hits[c] += is_bad
-    need = max(20, urls.SUPPORT * len(flags))
-    rules = {c for c in seen if hits[c] >= need and hits[c] / seen[c] >= 0.6}
-    got = {tuple(sorted(r["tokens"])) for r in urls.mine(urls.labelled(pages, labels)).collect()}
-    assert got == rules and rules
+    fits = lambda c: hits[c] >= need and hits[c] >= urls.LIFT * share * seen[c] and hits[c] - seen[c] * share >= urls.LEAST_Z * (seen[c] * share * (1 - share)) ** 0.5
+    rules = {c for c in seen if fits(c)}
+    explained = {d for d in rules for c in rules if set(d) < set(c) and seen[d] > seen[c] and hits[d] - hits[c] <= share * (seen[d] - seen[c])}
+    left = rules - explained
+    return {c for c in left if not any(set(d) < set(c) for d in left)}
+
+
+def judged_by_brute_force(spark, pages, labels):
+    sets = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    flags = {}
+    for r in labels.collect():
+        if r["doc_id"] in sets and sets[r["doc_id"]] and (r["quality"], r["toxic"]) != (None, None):
+            flags[r["doc_id"]] = flags.get(r["doc_id"], False) or r["quality"] == 0 or r["toxic"] == 1
+    rules = mined_by_brute_force(sets, flags)
+    assert {tuple(r["tokens"]) for r in urls.mine(urls.labelled(pages, labels)).collect()} == rules
     want = {i: any(set(c) <= s for c in rules) for i, s in sets.items()}
     for constant in (urls.CONSTANT_RULES, 0):
         assert {r["page_id"]: r["mined"] for r in urls.judge(pages, labels, constant=constant).collect()} == want
+    return rules, want
+
+
+def test_mined_rules_by_brute_force(spark):
+    rnd = random.Random(3)
+    made = [(i, f"http://{rnd.choice(['a', 'b', 'c'])}.{rnd.choice(['x', 'y'])}.io/{rnd.choice(['p', 'q', 'r'])}/{i}{rnd.choice(['.html', ''])}") for i in range(600)] + [(700, None)]
+    made += [(1000 + i, f"https://long.example.org/{'/'.join(2 * c for c in 'abcdefghijklmnopqrstuvwxyz')}/{i}") for i in range(60)]  # 2 ** 30 subsets, were they mined
+    bad = lambda u: "//a." in u and "/p/" in u or "long." in u
+    labels = spark.createDataFrame([(i, 0 if bad(u) and rnd.random() < 0.9 else 1, 0) for i, u in made if u and i % 2 == 0] + [(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rules, want = judged_by_brute_force(spark, spark.createDataFrame(made, "page_id long, url string"), labels)
+    assert any("below=a" in c and "path=p" in c for c in rules) and all(want[1000 + i] for i in range(60))
+
+
+def test_rules_of_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    rules, want = judged_by_brute_force(spark, spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert rules and any(want.values()) and not all(want.values())
 
 
 # ---- secrets
