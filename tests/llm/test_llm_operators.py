@@ -120,6 +120,54 @@ def test_samples_are_distinct_and_decode(spark, sf):
     assert [next(iter(v)) for (d, _), v in by.items() if d == 3] == [()]
 
 
+def test_digest_by_brute_force(spark, sf):
+    proto = pieces.load()
+    data = [(i, t) for i, (_, t) in enumerate(ODD)] + sample(spark, sf)[:40]
+    docs, texts = documents(spark, data), dict(data)
+    vocab = pieces.vocabulary(proto)
+
+    def mixed(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ (x >> 32)
+
+    want = Counter()
+    for r in pieces.encode(docs, proto).collect():
+        total = sum(mixed(((p + 1) * pieces.BASE + i) % 2**64) for i, p in enumerate(r["pieces"])) % 2**64
+        raw = b"".join(vocab.bytes[p] for p in r["pieces"]).decode("utf-8", "replace")
+        text = texts[r["doc_id"]]
+        want[r["doc_id"], r["sample"], r["n_pieces"], r["log_p"], r["perturbed"], r["inclusion"], total - (total >> 63 << 64), raw == (" " + text if text else "")] += 1
+    assert Counter(map(tuple, pieces.digest(docs, proto).collect())) == want and want
+
+
+def test_segmentations_and_the_library(spark, sf):
+    import sentencepiece
+
+    proto = pieces.load()
+    model, vocab = sentencepiece.SentencePieceProcessor(model_proto=proto), pieces.vocabulary(proto)
+    texts = [" ".join(t.split()) for _, t in sample(spark, sf)[:30] if t] + ["the cat sat", "über 😀 naïve"]
+    got = pieces.sample_texts(texts, pieces.row_keys(list(range(len(texts)))), vocab, 2)
+    assert len(texts) > 10
+    for i, t in enumerate(texts):
+        assert vocab.decode(model.encode(t)) == t
+        for r in np.flatnonzero(got["text"] == i):
+            assert model.decode(got["pieces"][got["begin"][r] : got["begin"][r + 1]].tolist()) == t
+
+
+def test_draws_are_exact(monkeypatch):
+    """Draws made in double precision throughout, and no sibling left out: the same samples."""
+    vocab = pieces.vocabulary(pieces.load())
+    texts = ["the cat sat on the mat " * n for n in range(1, 40)] + ["internationalisation" * 30, "é😀" * 50]
+    keys = pieces.row_keys(list(range(len(texts))))
+    fast = pieces.sample_texts(texts, keys, vocab, 3)
+    monkeypatch.setattr(pieces, "NEAR", np.float32(4))
+    monkeypatch.setattr(pieces, "MARGIN", 1e9)
+    slow = pieces.sample_texts(texts, keys, vocab, 3)
+    assert all(np.array_equal(fast[x], slow[x]) for x in fast)
+    monkeypatch.undo()
+    assert pieces.MARGIN > -np.log(-np.log(pieces._uniform(np.array([2**64 - 1], dtype=np.uint64))))[0]
+
+
 def segmentations(unit, vocab):
     known = {int(h): (int(i), w) for h, i, w in zip(vocab.hash, vocab.id, vocab.weight) if i >= 0}
     out = []
