@@ -22,6 +22,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """(node, component) for each node of an edge; the component is its least node. Nulls and loops are dropped."""
     now = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     seen = None
+    if not now.take(1):
+        most_rounds = 0
     for _ in range(most_rounds):
         twice = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(twice.distinct(), False).filter("u <> v").distinct()
@@ -32,6 +34,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
             break
         seen = mark
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # settled edges are stars around the least node
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

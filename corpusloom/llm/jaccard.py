@@ -12,23 +12,32 @@ many documents last, so that blocks stay small. Every block has a tree of its ow
 least one block.
 
 Within a token's block, sets without another of fitting size are dropped before points are fetched, and the sets
-themselves are only gathered for pairs that pass the bound. A block does not list its pairs. First it emits stars over pairs that pass the bound; those are verified on the sets
-themselves, and components of what is linked are formed. A second pass looks at pairs that pass the bound and whose ends
-are in different components, as only those can still change a component; it emits a spanning forest of them, so no more
-rows than a block has. Each tree of the forest is then solved exactly: its sets travel once, to a pivot P of the tree, and
-are kept as what they lack of P and what they have besides, which is little for near copies; the overlap of A and B is
-|P| less what either lacks, with what both have besides. Sets outside the tree's largest component are asked against all
-its sets by matrix products over the differences that occur twice, in tiles of TILE tokens for large trees. Equal sets are
-one set throughout.
+themselves are only gathered for pairs that pass the bound. A block does not list its pairs. First it emits stars over
+pairs that pass the bound; those are verified on the sets themselves, and components of what is linked are formed. A
+second pass looks at pairs that pass the bound and whose ends are in different components, as only those can still change
+a component; it emits a spanning forest of them, so no more rows than a block has.
+
+A token of more than PART sets is no block of its own. Its sets are dealt into bands of size, of which only neighbours can
+hold linked sets, and into parts of PART sets by hash. The first pass stays within parts; then one set for each component
+and window of bands stands for the others, so that the parts of a group of near copies meet through few rows; the second
+pass looks at every pair of parts, but only where a window still holds several components.
+
+Each tree of the forest is then solved exactly: its sets travel once, to a pivot P of the tree, and are kept as what they
+lack of P and what they have besides, which is little for near copies; the overlap of A and B is |P| less what either
+lacks, with what both have besides. Sets outside the tree's largest component are asked against all its sets by matrix
+products over the differences that occur twice, in tiles of TILE tokens for large trees. Equal sets are one set throughout.
+
+Shingles are compared by 63 bits of their hashes, and sets are told apart by 128 bits.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are components of their own;
-a text of fewer than k words has one shingle, its whole word sequence; a null doc_id is not chosen as a component's id;
+a text of fewer than k words has one shingle, its whole word sequence; texts of any length are whole sets; a null doc_id is not chosen as a component's id;
 repeated rows are equal sets; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +50,18 @@ from .graph import components
 
 #: A token in this share of the documents of a batch, and in HEAVY_LEAST of them, goes to the end of the order.
 HEAVY_SHARE, HEAVY_LEAST = 0.004, 8
-#: Share of all documents from which it is kept as such. At most (mean set size / share) tokens: that bounds the broadcast.
-HEAVY_ALL = 0.001
+#: Share of all documents from which it is kept as such, and the most that are kept, the most frequent ones (8 bytes each,
+#: broadcast). Any order of tokens, the same for all sets, loses nothing.
+HEAVY_ALL, HEAVY_MOST = 0.001, 1 << 20
+#: Sets of a token that one task compares at once, and so many tokens (or windows of them) whose list is broadcast.
+PART, BROADCAST_TOKENS = 512, 50_000
 #: Blocks up to this size compare all points at once; larger ones search their tree.
 FLAT = 48
 LEAF = 16
-#: Documents in stars whose list is broadcast to fetch their texts; more are joined by shuffle.
-BROADCAST_IDS = 100_000
-#: Rays of a star that are checked in one group; about so many tokens of sets on each side of a tile.
-RAYS, TILE = 256, 400_000
+#: Roles of documents in stars whose list is broadcast to fetch their texts (about 100 bytes each); more are joined by shuffle.
+BROADCAST_ROLES = 100_000
+#: Rays of a star that are checked in one group, and the most groups of one; about so many tokens of sets on each side of a tile.
+RAYS, GROUPS, TILE = 256, 512, 400_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -304,7 +316,7 @@ def _signed(k: int, heavy, num: int, den: int):
 
 
 def _cast(k: int):
-    """For each document the stars that its set is in: a row with the set for each. A set's tokens go as 48 bits each."""
+    """For each document the stars that its set is in: a row with the set for each. A set's tokens go as 63 bits each."""
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +324,7 @@ def _cast(k: int):
                 out = []
                 for s, roles in zip(shingle_sets(part.column("text"), k), part.column("roles").to_pylist()):
                     own = set_id(s)
-                    tokens = np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    tokens = (s >> np.uint64(1)).astype("<u8").tobytes()
                     out += [(r["center"], r["salt"], r["ray"], own, r["label"], tokens) for r in roles if r["sid"] == own]
                     if sum(len(o[5]) for o in out[-64:]) > 1 << 22 or len(out) > 4096:
                         yield _cast_rows(out)
@@ -329,9 +341,7 @@ def _cast_rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _tokens(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(raw, dtype="<u8")
 
 
 def _links(found: list[tuple]) -> pa.RecordBatch:
@@ -360,7 +370,7 @@ def _checked(num: int, den: int):
 
 
 #: Marks tokens that a set lacks of its pivot, so that they differ from all that it has.
-LACKS = np.uint64(1 << 48)
+LACKS = np.uint64(1 << 63)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +429,7 @@ def _solved(num: int, den: int):
 
 
 def _blocks(num: int, den: int, labelled: bool):
-    """Over partitions ordered by token, so that a block's rows follow each other."""
+    """Over partitions ordered by (token, w, i, j), so that a block's rows follow each other."""
 
     def close(token: int, rows: list[tuple], out: list[tuple]) -> None:
         if len(rows) < 2:
@@ -434,7 +444,7 @@ def _blocks(num: int, den: int, labelled: bool):
             out.append((None, None, token))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rows, out = None, [], []
+        block, rows, out = None, [], []
 
         def flush() -> pa.RecordBatch:
             pairs = list(dict.fromkeys(out))
@@ -444,13 +454,15 @@ def _blocks(num: int, den: int, labelled: bool):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for row in zip(*columns):
-                if row[0] != token:
-                    close(token, rows, out)
-                    token, rows = row[0], []
+                if row[:4] != block:
+                    if block:
+                        close(block[0], rows, out)
+                    block, rows = row[:4], []
                     if len(out) >= 20_000:
                         yield flush()
-                rows.append(row[1:])
-        close(token, rows, out)
+                rows.append(row[4:])
+        if block:
+            close(block[0], rows, out)
         yield flush()
 
     return blocks
@@ -461,7 +473,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: in
 
     A star of many rays is dealt over salts, each of which gets the middle. ids: sid, and doc_id (least) and text key of a document that has it.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
+    salts = pairs.groupBy("a").agg(F.least(F.lit(GROUPS), F.ceil(F.count(F.lit(1)) / RAYS)).alias("salts"))
     rays = pairs.join(salts, "a").select(F.col("b").alias("sid"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"))
     middles = salts.select(F.col("a").alias("sid"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ray"))
     sets = _fetched(rays.unionByName(middles).withColumn("label", F.lit(None).cast("binary")), docs, ids, k)
@@ -472,7 +484,7 @@ def _fetched(roles: DataFrame, docs: DataFrame, ids: DataFrame, k: int) -> DataF
     """The sets of all roles (sid, center, salt, ray, label), together by center and salt, rows that are no rays first."""
     roles = roles.join(ids, "sid").groupBy("least", F.col("key").alias("least_key")).agg(F.collect_list(F.struct("sid", "center", "salt", "ray", "label")).alias("roles"))
     roles = checkpoint(roles)
-    few = roles.count() <= BROADCAST_IDS
+    few = (roles.agg(F.sum(F.size("roles"))).first()[0] or 0) <= BROADCAST_ROLES
     both = docs.join(F.broadcast(roles) if few else roles, docs["doc_id"].eqNullSafe(roles["least"]) & (docs["key"] == roles["least_key"])).select("text", "roles")
     sets = both.mapInArrow(_cast(k), "center binary, salt long, ray boolean, sid binary, label binary, tokens binary")
     return sets.repartition("center", "salt").sortWithinPartitions("center", "salt", "ray")
@@ -484,7 +496,7 @@ def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int,
     trees: sid, tree (the sid of one of its sets, the pivot), label. A tree with more than TILE tokens of differences is
     dealt over tiles of asked sets by sets.
     """
-    salts = trees.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("salts"))
+    salts = trees.groupBy("tree").agg(F.least(F.lit(GROUPS), F.ceil(F.count(F.lit(1)) / RAYS)).alias("salts"))
     rays = trees.join(salts, "tree").select("sid", F.col("tree").alias("center"), F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), F.lit(True).alias("ray"), "label")
     pivots = salts.select(F.col("tree").alias("sid"), F.col("tree").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ray"), F.lit(None).cast("binary").alias("label"))
     sets = _fetched(rays.unionByName(pivots), docs, ids, k)
@@ -510,6 +522,36 @@ def clusters(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return linked(df, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most."""
+    return F.broadcast(df) if len(df.take(most + 1)) <= most else df
+
+
+def _whole_blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """Blocks (token, w, i, j, sid) of tokens with PART rows or less; sets without another of fitting size are dropped."""
+    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    posted = posted.withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
+    fits = (F.col("_less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("_more") * num)
+    zero = F.lit(0).cast("long")
+    return posted.filter(F.coalesce(fits, F.lit(False))).select("token", F.lit(-2).cast("long").alias("w"), zero.alias("i"), zero.alias("j"), "sid")
+
+
+def _windows(posted: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (token, w, parts, part, sid) of tokens with more: window w holds the sets of size bands w and w + 1.
+
+    Linked sets are in one band or in neighbours; a window whose lower band is empty has only pairs that the next one has.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
+    rows = posted.withColumn("w", band)
+    cells = rows.groupBy("token", "w").agg(F.count(F.lit(1)).alias("c"))
+    # a token has few bands: their number goes with the logarithm of the largest set
+    after = Window.partitionBy("token").orderBy("w")
+    above = F.when(F.lead("w").over(after) == F.col("w") + 1, F.lead("c").over(after)).otherwise(0)
+    cells = checkpoint(cells.withColumn("c", F.col("c") + above).filter("c > 1").select("token", "w", F.ceil(F.col("c") / PART).alias("parts")))
+    rows = rows.withColumn("w", F.explode(F.array("w", F.col("w") - 1))).join(_small(cells, BROADCAST_TOKENS), ["token", "w"])
+    return rows.select("token", "w", "parts", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), "sid")
+
+
 def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """clusters() with each row's text key and `component`, which is null for texts without shingles.
 
@@ -522,26 +564,37 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.withColumn("key", text_key(F.col("text")))
     counted = docs.select("text").mapInArrow(_heavy(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(HEAVY_LEAST, int(HEAVY_ALL * docs.count()))
-    tokens = np.sort(np.array([r["token"] for r in counted.filter(F.col("n") >= least).select("token").collect()], dtype=np.int64).view(np.uint64))
+    counted = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(HEAVY_MOST)
+    tokens = np.sort(np.array([r["token"] for r in counted.select("token").collect()], dtype=np.int64).view(np.uint64))
     heavy = spark.sparkContext.broadcast(tokens)
 
     signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, key binary, n long, sid binary, point binary, tokens array<long>"))
     unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.first("point").alias("point"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
     unique = unique.select("sid", F.col("least.doc_id").alias("least"), F.col("least.key").alias("key"), "point", "tokens", "n")
     points = unique.select("sid", "point")
-    by_size = Window.partitionBy("token").orderBy("n", "sid")
     posted = unique.select("sid", "n", F.explode("tokens").alias("token"))
-    posted = posted.withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
-    fits = (F.col("_less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("_more") * num)
-    blocks = checkpoint(posted.filter(F.coalesce(fits, F.lit(False))).select("token", "sid"))
+    big = checkpoint(signed.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("token"))
+    some = bool(big.take(1))
+    if some:
+        few = _small(big, BROADCAST_TOKENS)
+        windows = checkpoint(_windows(posted.join(few, "token", "left_semi"), num, den))
+        split = windows.filter("parts > 1")
+        parted = windows.select("token", "w", F.col("part").alias("i"), F.col("part").alias("j"), "sid")
+        whole = _whole_blocks(posted.join(few, "token", "left_anti"), num, den)
+        blocks, several = checkpoint(whole), bool(split.take(1))
+        first = blocks.unionByName(parted)
+    else:
+        blocks, several = checkpoint(_whole_blocks(posted, num, den)), False
+        first = blocks
 
     del posted
     release(spark)
 
+    keys = ("token", "w", "i", "j")
     near = lambda rows, labelled: (
-        rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_blocks(num, den, labelled), "a binary, b binary, token long")
+        rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(_blocks(num, den, labelled), "a binary, b binary, token long")
     )
-    found = checkpoint(near(blocks.join(points, "sid").select("token", "sid", "point"), False).distinct())
+    found = checkpoint(near(first.join(points, "sid").select(*keys, "sid", "point"), False).distinct())
     release(spark)
     tried = found.filter("token IS NULL").select("a", "b")
 
@@ -549,13 +602,35 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     links = _verified(tried, docs, ids, k, num, den)
     release(spark)
     label = components(links, "a", "b")
-
-    open_tokens = found.filter("token IS NOT NULL").select("token")
-    rows = blocks.join(open_tokens, "token", "left_semi").join(label, F.col("sid") == F.col("node"), "left")
-    rows = rows.select("token", "sid", F.coalesce("component", "sid").alias("label"))
-    ends = Window.partitionBy("token")
-    rows = rows.withColumn("_lo", F.min("label").over(ends)).withColumn("_hi", F.max("label").over(ends)).filter("_lo <> _hi")
-    more = checkpoint(near(rows.join(points, "sid").select("token", "sid", "point", "label"), True).filter("a IS NOT NULL").select("a", "b").distinct())
+    labelled = lambda rows: rows.join(label, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid")).drop("node", "component")
+
+    if several:
+        # one set for each component of a window; where these are many, they are dealt into parts again
+        stand = checkpoint(labelled(split).groupBy("token", "w", "label").agg(F.min("sid").alias("sid")))
+        parts = stand.groupBy("token", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "w", F.ceil(F.col("c") / PART).alias("parts"))
+        part = F.pmod(F.xxhash64("sid"), F.col("parts"))
+        stand = stand.join(_small(parts, BROADCAST_TOKENS), ["token", "w"]).select("token", "w", part.alias("i"), part.alias("j"), "sid")
+        tried = near(stand.join(points, "sid").select(*keys, "sid", "point"), False).filter("token IS NULL").select("a", "b").distinct()
+        links = checkpoint(links.unionByName(_verified(checkpoint(tried), docs, ids, k, num, den)).distinct())
+        release(spark)
+        label = components(links, "a", "b")
+
+    open_tokens = found.filter("token IS NOT NULL").select("token").distinct()
+    rows = blocks.join(open_tokens, "token", "left_semi").select(*keys, "sid")
+    if some:
+        one = windows.filter("parts = 1").join(open_tokens, "token", "left_semi").select("token", "w", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid")
+        other = F.col("_q")
+        pairs = split.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        pairs = pairs.select("token", "w", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"), "sid")
+        rows = labelled(rows.unionByName(one))
+        mixed = labelled(split.select("token", "w", "sid")).groupBy("token", "w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "w")
+        # parts are only paired in windows that hold several components
+        rows = rows.unionByName(labelled(pairs.join(mixed, ["token", "w"], "left_semi")))
+    else:
+        rows = labelled(rows)
+    ends = rows.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*keys)
+    rows = rows.join(ends, list(keys), "left_semi")
+    more = checkpoint(near(rows.join(points, "sid").select(*keys, "sid", "point", "label"), True).filter("a IS NOT NULL").select("a", "b").distinct())
     release(spark)
     if more.take(1):
         trees = components(more, "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("tree"))

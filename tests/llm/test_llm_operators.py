@@ -391,9 +391,9 @@ def test_clusters_by_brute_force(spark, sf, k, num):
     assert rows(jaccard.clusters(documents(spark, data), k, num, 100)) == sorted(brute.jaccard_components(data, k, num, 100), key=repr)
 
 
-@pytest.mark.parametrize("tile, rays, flat", [(400_000, 256, 48), (60, 3, 4)])
-def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat):
-    for name, value in (("TILE", tile), ("RAYS", rays), ("FLAT", flat)):
+@pytest.mark.parametrize("tile, rays, flat, part", [(400_000, 256, 48, 512), (60, 3, 4, 512), (60, 3, 4, 7)])
+def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat, part):
+    for name, value in (("TILE", tile), ("RAYS", rays), ("FLAT", flat), ("PART", part), ("GROUPS", 5), ("BROADCAST_TOKENS", part), ("BROADCAST_ROLES", part)):
         monkeypatch.setattr(jaccard, name, value)
     rnd, data = random.Random(4), []
     for _ in range(4):
@@ -406,6 +406,21 @@ def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat):
     assert rows(jaccard.clusters(documents(spark, data), 3, 90, 100)) == sorted(brute.jaccard_components(data, 3, 90, 100), key=repr)
 
 
+def test_common_words_among_near_copies(spark, monkeypatch):
+    """Tokens of many sets of many sizes, linked and not: split blocks lose nothing."""
+    monkeypatch.setattr(jaccard, "PART", 5)
+    rnd, data = random.Random(6), []
+    for n in (12, 14, 40, 44, 48, 200):
+        base = [f"c{i}" for i in range(n)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 1, 2, n // 8])):
+                w[rnd.randrange(n)] = f"w{rnd.randrange(40)}"
+            data.append((len(data), " ".join(w + [f"t{rnd.randrange(3)}"] * rnd.randrange(2))))
+    for num in (90, 80, 100):
+        assert rows(jaccard.clusters(documents(spark, data), 1, num, 100)) == sorted(brute.jaccard_components(data, 1, num, 100), key=repr)
+
+
 def revisions(rnd, length, words=60, changed=1):
     """Texts that each differ from the one before in some words."""
     w, out = [f"w{rnd.randrange(10**6)}" for _ in range(words)], []
