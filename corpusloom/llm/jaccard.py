@@ -53,8 +53,11 @@ HEAVY_SHARE, HEAVY_LEAST = 0.004, 8
 #: Share of all documents from which it is kept as such, and the most that are kept, the most frequent ones (8 bytes each,
 #: broadcast). Any order of tokens, the same for all sets, loses nothing.
 HEAVY_ALL, HEAVY_MOST = 0.001, 1 << 20
-#: Sets of a token that one task compares at once, and so many tokens (or windows of them) whose list is broadcast.
-PART, BROADCAST_TOKENS = 512, 50_000
+#: Sets of a token that one task compares at once, parts that the second pass takes as one, and so many tokens (or windows
+#: of them) whose list is broadcast.
+PART, TAKEN, BROADCAST_TOKENS = 512, 8, 50_000
+#: Rows of a block that are looked at before its largest tree is passed over.
+FIRST = 8
 #: Blocks up to this size compare all points at once; larger ones search their tree.
 FLAT = 48
 LEAF = 16
@@ -255,12 +258,24 @@ def across(points: list[np.ndarray], labels: list, num: int, den: int) -> Iterat
     """A spanning forest of the pairs that pass the bound and whose labels differ."""
     kinds = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
     if kinds.max(initial=0) > 0:
-        tree, forest = Levels(points), Forest(len(points))
-        for i in range(len(points)):
+        tree, forest, trees, largest = Levels(points), Forest(len(points)), len(points), None
+        # one end at least of each pair does not have the label of most rows
+        often = np.bincount(kinds)
+        ask = np.flatnonzero(kinds != often.argmax()) if often.max() > len(kinds) // 2 else np.arange(len(kinds))
+        for i in ask.tolist():
+            if len(ask) == len(kinds) and i == FIRST:
+                roots, sizes = np.unique([forest.find(x) for x in range(len(points))], return_counts=True)
+                largest = int(roots[sizes.argmax()])
+            # rows that are in one fixed tree of the forest by now need no look: what they could join will look at them
+            if largest is not None and forest.find(i) == forest.find(largest):
+                continue
             near = tree.reach(i, num, den)
-            for j in near[(near > i) & (kinds[near] != kinds[i])].tolist():
+            for j in near[kinds[near] != kinds[i]].tolist():
                 if forest.join(i, j):
-                    yield i, j
+                    trees -= 1
+                    yield min(i, j), max(i, j)
+            if trees == 1:
+                return
 
 
 def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -619,8 +634,8 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = blocks.join(open_tokens, "token", "left_semi").select(*keys, "sid")
     if some:
         one = windows.filter("parts = 1").join(open_tokens, "token", "left_semi").select("token", "w", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "sid")
-        other = F.col("_q")
-        pairs = split.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        many, other = F.ceil(F.col("parts") / TAKEN), F.col("_q")
+        pairs = split.withColumn("part", F.pmod(F.xxhash64("sid"), many)).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
         pairs = pairs.select("token", "w", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"), "sid")
         rows = labelled(rows.unionByName(one))
         mixed = labelled(split.select("token", "w", "sid")).groupBy("token", "w").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "w")

@@ -393,7 +393,7 @@ def test_clusters_by_brute_force(spark, sf, k, num):
 
 @pytest.mark.parametrize("tile, rays, flat, part", [(400_000, 256, 48, 512), (60, 3, 4, 512), (60, 3, 4, 7)])
 def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat, part):
-    for name, value in (("TILE", tile), ("RAYS", rays), ("FLAT", flat), ("PART", part), ("GROUPS", 5), ("BROADCAST_TOKENS", part), ("BROADCAST_ROLES", part)):
+    for name, value in (("TILE", tile), ("RAYS", rays), ("FLAT", flat), ("PART", part), ("TAKEN", 2), ("GROUPS", 5), ("BROADCAST_TOKENS", part), ("BROADCAST_ROLES", part)):
         monkeypatch.setattr(jaccard, name, value)
     rnd, data = random.Random(4), []
     for _ in range(4):
@@ -406,9 +406,24 @@ def test_groups_of_near_misses(spark, monkeypatch, tile, rays, flat, part):
     assert rows(jaccard.clusters(documents(spark, data), 3, 90, 100)) == sorted(brute.jaccard_components(data, 3, 90, 100), key=repr)
 
 
+def test_forests_join_what_pairs_join():
+    rnd = np.random.default_rng(5)
+    for _ in range(200):
+        chain = [rnd.integers(0, 2**63, 60, dtype=np.uint64)]
+        for _ in range(rnd.integers(3, 30)):
+            chain.append(np.where(rnd.random(60) < 0.1, rnd.integers(0, 2**63, 60, dtype=np.uint64), chain[rnd.integers(len(chain))]))
+        points, labels = [jaccard.point(c) for c in chain], rnd.integers(0, 4, len(chain)).tolist()
+        want = jaccard.Forest(len(chain))
+        bound = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if i < j and labels[i] != labels[j] and np.minimum(p, q).sum() >= jaccard.needed(60, 60, 85, 100)}
+        trees = len(chain) - sum(want.join(i, j) for i, j in sorted(bound))
+        got = list(jaccard.across(points, labels, 85, 100))
+        assert set(got) <= bound and len(got) == len(chain) - trees
+
+
 def test_common_words_among_near_copies(spark, monkeypatch):
     """Tokens of many sets of many sizes, linked and not: split blocks lose nothing."""
     monkeypatch.setattr(jaccard, "PART", 5)
+    monkeypatch.setattr(jaccard, "TAKEN", 2)
     rnd, data = random.Random(6), []
     for n in (12, 14, 40, 44, 48, 200):
         base = [f"c{i}" for i in range(n)]
