@@ -55,7 +55,7 @@ HEAVY_SHARE, HEAVY_LEAST = 0.004, 8
 HEAVY_ALL, HEAVY_MOST = 0.001, 1 << 20
 #: Sets of a token that one task compares at once, parts that the second pass takes as one, and so many tokens (or windows
 #: of them) whose list is broadcast.
-PART, TAKEN, BROADCAST_TOKENS = 512, 8, 50_000
+PART, TAKEN, BROADCAST_TOKENS = 128, 4, 50_000
 #: Rows of a block that are looked at before its largest tree is passed over.
 FIRST = 8
 #: Blocks up to this size compare all points at once; larger ones search their tree.
@@ -542,13 +542,14 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if len(df.take(most + 1)) <= most else df
 
 
-def _whole_blocks(posted: DataFrame, num: int, den: int) -> DataFrame:
-    """Blocks (token, w, i, j, sid) of tokens with PART rows or less; sets without another of fitting size are dropped."""
-    by_size = Window.partitionBy("token").orderBy("n", "sid")
-    posted = posted.withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
+def _fitting(posted: DataFrame, big: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (token, n, sid, big) that have another of fitting size; those of big tokens, whose rows no one task holds, all stay."""
+    posted = posted.join(_small(big.withColumn("big", F.lit(True)), BROADCAST_TOKENS), "token", "left")
+    spread = F.when(F.col("big"), F.pmod(F.xxhash64("sid"), F.lit(1024))).otherwise(0)
+    by_size = Window.partitionBy("token", "_spread").orderBy("n", "sid")
+    posted = posted.withColumn("_spread", spread).withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
     fits = (F.col("_less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("_more") * num)
-    zero = F.lit(0).cast("long")
-    return posted.filter(F.coalesce(fits, F.lit(False))).select("token", F.lit(-2).cast("long").alias("w"), zero.alias("i"), zero.alias("j"), "sid")
+    return posted.filter(F.coalesce(F.col("big"), fits, F.lit(False))).select("token", "n", "sid", F.col("big").isNotNull().alias("big"))
 
 
 def _windows(posted: DataFrame, num: int, den: int) -> DataFrame:
@@ -589,18 +590,15 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     points = unique.select("sid", "point")
     posted = unique.select("sid", "n", F.explode("tokens").alias("token"))
     big = checkpoint(signed.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("token"))
-    some = bool(big.take(1))
+    some, zero = bool(big.take(1)), F.lit(0).cast("long")
+    fitting = checkpoint(_fitting(posted, big, num, den))
+    first = blocks = fitting.filter("NOT big").select("token", F.lit(-2).cast("long").alias("w"), zero.alias("i"), zero.alias("j"), "sid")
+    several = False
     if some:
-        few = _small(big, BROADCAST_TOKENS)
-        windows = checkpoint(_windows(posted.join(few, "token", "left_semi"), num, den))
+        windows = checkpoint(_windows(fitting.filter("big").select("token", "n", "sid"), num, den))
         split = windows.filter("parts > 1")
-        parted = windows.select("token", "w", F.col("part").alias("i"), F.col("part").alias("j"), "sid")
-        whole = _whole_blocks(posted.join(few, "token", "left_anti"), num, den)
-        blocks, several = checkpoint(whole), bool(split.take(1))
-        first = blocks.unionByName(parted)
-    else:
-        blocks, several = checkpoint(_whole_blocks(posted, num, den)), False
-        first = blocks
+        several = bool(split.take(1))
+        first = blocks.unionByName(windows.select("token", "w", F.col("part").alias("i"), F.col("part").alias("j"), "sid"))
 
     del posted
     release(spark)
