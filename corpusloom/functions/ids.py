@@ -35,4 +35,4 @@ def issue_id(prefix: str, key: Column) -> Column:
 
 def is_lfs_pointer(content: Column) -> Column:
     """Whether a file is a large-file pointer that was not fetched."""
-    return F.coalesce(F.decode(F.substring(content, 1, 128), "utf-8").startswith("version https://git-lfs.github.com/spec/"), F.lit(False))
+    return F.coalesce(F.startswith(content, F.encode(F.lit("version https://git-lfs.github.com/spec/"), "utf-8")), F.lit(False))

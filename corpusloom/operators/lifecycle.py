@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, time
+from ..session import checkpoint
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -121,7 +124,10 @@ def issue_history(before: DataFrame, now: DataFrame) -> DataFrame:
     live = ~F.coalesce(F.col("state").isin("resolved", "archived"), F.lit(False))
     state = F.when(F.col("id").isNull(), "new").when(F.col("_now") & live, "persisting").when(F.col("_now"), "new").when(F.col("state").isin("resolved", "archived"), "archived").otherwise("resolved")
     both = both.withColumn("state", state)
-    top = before.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    # only new issues are numbered in one order
-    fresh = both.filter("id IS NULL").drop("id").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("doc", "type")))
+    # new issues are numbered in one order: by ranges, whose sizes (one row each) give each range its first number
+    fresh = checkpoint(both.filter("id IS NULL").drop("id").repartitionByRange("doc", "type").withColumn("_b", F.spark_partition_id()))
+    sizes = {r["_b"]: r["n"] for r in fresh.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = dict(zip(sorted(sizes), accumulate((sizes[b] for b in sorted(sizes)), initial=before.agg(F.max("id")).first()[0] or 0)))
+    begin = F.create_map(*[F.lit(x).cast("long") for kv in first.items() for x in kv]) if first else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    fresh = fresh.withColumn("id", begin[F.col("_b").cast("long")] + F.row_number().over(Window.partitionBy("_b").orderBy("doc", "type")))
     return both.filter("id IS NOT NULL").select("id", "doc", "type", "state").unionByName(fresh.select("id", "doc", "type", "state"))

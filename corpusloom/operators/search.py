@@ -2,41 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, vector
 from ..sources.corpus import COLLECTION, GLOBAL
 
-#: Queries whose table is broadcast; more meet the points by blocks.
-BROADCAST_QUERIES = 2_000
+#: Points and queries that one task compares, and queries whose products with all points of a task are held at once.
+POINT_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 4_096, 256
 KINDS = ("doc", "notes", "session")
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, *, key: str = "id", least: float | None = None, scored: Column | None = None) -> DataFrame:
+def _blocks(df: DataFrame, key: str, name: str, rows: int) -> tuple[DataFrame, int]:
+    """df dealt by hash into blocks of about so many rows, and their number: it grows with the table."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int, *, key: str = "id", least: float | None = None) -> DataFrame:
     """The k best points (id, vector) of each query (query_id, query), by cosine, ties to smaller ids; never the query itself.
 
-    Queries are broadcast while they are few; beyond that both sides are dealt into blocks and every block of queries
-    meets every block of points once. The k best of each task are found before the shuffle.
+    Both sides are dealt into blocks by their number of rows; each block of queries meets each block of points once, as a
+    matrix product, and only the k best of it are shuffled on. Zero vectors and vectors of other lengths have no cosine.
     """
-    few = len(queries.select("query_id").take(BROADCAST_QUERIES + 1)) <= BROADCAST_QUERIES
-    q = queries.select("query_id", vector.normalised(F.col("query")).alias("_q"))
-    p = points.withColumn("_v", vector.normalised(F.col("vector"))).filter("_v[0] IS NOT NULL")
-    if few:
-        both = p.join(F.broadcast(q), p[key] != q["query_id"])
-    else:
-        blocks = 16
-        q = q.withColumn("_bq", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_bp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        p = p.withColumn("_bp", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        both = p.join(q, ["_bp", "_bq"]).filter(F.col(key) != F.col("query_id")).drop("_bp", "_bq")
-    both = both.withColumn("score", vector.dot(F.col("_v"), F.col("_q")) if scored is None else scored).drop("_v", "_q", "vector")
-    if least is not None:
-        both = both.filter(F.col("score") >= least)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    vectors = lambda df, c: df.withColumn("_v", vector.normalised(F.col(c))).filter("_v[0] IS NOT NULL").withColumn("_d", F.size("_v"))
+    p = vectors(points, "vector").drop("vector")
+    q = vectors(queries.select("query_id", "query"), "query").drop("query")
+    (p, np_), (q, nq) = _blocks(p, key, "_bp", POINT_ROWS), _blocks(q, "query_id", "_bq", QUERY_ROWS)
+    carried = [f for f in p.schema.fields if f.name not in ("_v", "_d", "_bp")]
+    names = [f.name for f in carried]
+    schema = T.StructType([*carried, queries.schema["query_id"], T.StructField("score", T.DoubleType())])
+
+    def best(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(rows):
+            return pd.DataFrame(columns=schema.names)
+        ids, x, out = rows[key].to_numpy(), _matrix(rows["_v"]), []
+        for i in range(0, len(some), AT_ONCE):
+            part = some.iloc[i : i + AT_ONCE]
+            for own, s in zip(part["query_id"].to_numpy(), _matrix(part["_v"]) @ x.T):
+                s = np.where(ids == own, -np.inf, s)
+                n = min(k, len(s))
+                at = np.flatnonzero(s >= np.partition(s, -n)[-n])  # with all that tie at the end
+                at = at[s[at] > (-np.inf if least is None else np.nextafter(least, -np.inf))]
+                at = at[np.lexsort((ids[at], -s[at]))[:k]]
+                out.append(rows.iloc[at][names].assign(query_id=own, score=s[at]))
+        return pd.concat(out)
+
+    keys = ["_d", "_bp", "_bq"]
+    found = q.withColumn("_bp", _every(np_)).groupBy(*keys).cogroup(p.withColumn("_bq", _every(nq)).groupBy(*keys)).applyInPandas(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(points: DataFrame, query: list[float], k: int = 5, key: str = "id") -> DataFrame:
@@ -68,13 +97,27 @@ def suggestions(points: DataFrame, queries: DataFrame, k: int = 6, least: float
 
 
 def near_duplicates(points: DataFrame, least: float = 0.92) -> DataFrame:
-    """Pairs of points above a cosine, the smaller id first. Points meet by blocks; each pair is compared once."""
-    blocks = 16
-    v = points.select("id", vector.normalised(F.col("vector")).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("b").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("b").alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = left.join(right, ["x", "y"]).filter("a < b")
-    return both.withColumn("score", vector.dot(F.col("va"), F.col("vb"))).filter(F.col("score") > least).select("a", "b", "score")
+    """Pairs of points above a cosine, the smaller id first. Blocks of points meet as matrix products; each pair is compared once."""
+    v = points.select("id", vector.normalised(F.col("vector")).alias("v")).filter("v[0] IS NOT NULL").withColumn("d", F.size("v"))
+    v, n = _blocks(v, "id", "b", QUERY_ROWS)
+    kind = points.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("score", T.DoubleType())])
+
+    def above(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        ids, others, x, out = left["id"].to_numpy(), right["other"].to_numpy(), _matrix(right["w"]), []
+        for i in range(0, len(left), AT_ONCE):
+            s = _matrix(left["v"].iloc[i : i + AT_ONCE]) @ x.T
+            r, c = np.nonzero(s > least)
+            one, two = ids[i + r], others[c]
+            keep = one < two if key[1] == key[2] else one != two
+            out.append(pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "score": s[r, c][keep]}))
+        return pd.concat(out)
+
+    left = v.select("id", "v", "d", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.lit(n - 1))).alias("y"))
+    right = v.select(F.col("id").alias("other"), F.col("v").alias("w"), F.col("d").alias("d"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"))
+    return left.groupBy("d", "x", "y").cogroup(right.groupBy("d", "x", "y")).applyInPandas(above, schema)
 
 
 def project_of(name: Column) -> Column:
@@ -128,3 +171,44 @@ def context_block(found: DataFrame, header: str = "Relevant context", excerpt: i
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source", line.alias("line"))))
     body = F.concat_ws("\n", F.lit(header), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"))
     return found.groupBy("query_id").agg(F.to_json(F.struct(body.alias("additionalContext"))).alias("block"))
+
+
+Judge = Callable[[str, list[str]], bool]
+
+
+def judged(asked: DataFrame, judge: Judge, prompt: int = 300, excerpt: int = 200) -> DataFrame:
+    """query_id and whether a judge finds any of the excerpts relevant, for rows (query_id, prompt, excerpts), in batches.
+
+    A judge that fails says no; one that runs out of time (TimeoutError) lets the hits through.
+    """
+
+    def call(text: str | None, found: list[str]) -> bool:
+        try:
+            return bool(judge((text or "")[:prompt], [(x or "")[:excerpt] for x in found]))
+        except TimeoutError:
+            return True
+        except Exception:  # whatever a model's client raises
+            return False
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"query_id": pdf["query_id"], "relevant": [call(t, list(x)) for t, x in zip(pdf["prompt"], pdf["excerpts"])]})
+
+    kind = asked.schema["query_id"].dataType.simpleString()
+    return asked.select("query_id", "prompt", "excerpts").mapInPandas(run, f"query_id {kind}, relevant boolean")
+
+
+def recall(points: DataFrame, prompts: DataFrame, judge: Judge, *, current: str, mode: str = "all", projects: Iterable[str] = (), k: int = 5, low: float = 0.60, high: float = 0.85) -> DataFrame:
+    """A context block for each prompt (query_id, prompt, query) that has one.
+
+    points: id, vector, collection, file_path, slug, text. Permitted collections are searched; prompts whose best score is
+    below `low` get nothing, those above `high` their hits, and a judge decides on the rest.
+    """
+    names = permitted(points.select(F.col("collection").alias("name")).distinct(), current, mode, projects)
+    found = nearest(points.join(names.select(F.col("name").alias("collection")), "collection", "left_semi"), prompts, k)
+    found = found.withColumn("source", text.label(F.col("file_path"), F.col("slug"))).withColumn("excerpt", F.left(F.col("text"), F.lit(300)))
+    zone = zones(found, low, high)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "excerpt"))), lambda x: x["excerpt"])
+    asked = found.groupBy("query_id").agg(ordered.alias("excerpts")).join(zone.filter("zone = 'judge'"), "query_id").join(prompts.select("query_id", "prompt"), "query_id")
+    let_through = zone.filter("zone = 'inject'").select("query_id").unionByName(judged(asked, judge).filter("relevant").select("query_id"))
+    return context_block(found.join(let_through, "query_id", "left_semi"))

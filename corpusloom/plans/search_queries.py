@@ -14,6 +14,7 @@ PER_QUERY = f"""
 SELECT q.vec_id AS query_id, p.vec_id AS id, {COS.format('q.embedding', 'p.embedding')} AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format('q.embedding', 'p.embedding')} DESC, p.vec_id) AS rank
 FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0"""
+EVERY_EDGE = f"SELECT query_id AS src, id AS dst, (rank - 1)::INT AS pos FROM ({PER_QUERY.replace(' WHERE q.vec_id % 50 = 0', '')}) WHERE rank <= 4"
 EDGES = f"SELECT query_id AS src, id AS dst, (rank - 1)::INT AS pos FROM ({PER_QUERY}) WHERE rank <= 4"
 
 
@@ -66,11 +67,10 @@ def score_zones(t: Tables) -> DataFrame:
     return z.select("query_id", (F.col("top_score") > 0.40).alias("inject"), "zone")
 
 
-@query(f"SELECT query_id, count(*) AS n FROM ({PER_QUERY}) WHERE rank <= 3 GROUP BY 1")
+@query(f"SELECT query_id, 'Relevant context' || chr(10) || string_agg(printf('- v%d (%.2f): text', id, score), chr(10) ORDER BY rank) AS block FROM ({PER_QUERY}) WHERE rank <= 3 GROUP BY 1")
 def context_lines(t: Tables) -> DataFrame:
     found = search.nearest(points(t), queries(t), 3).withColumn("source", F.concat(F.lit("v"), "id")).withColumn("excerpt", F.lit("text"))
-    block = search.context_block(found)
-    return block.select("query_id", (F.size(F.split(F.get_json_object("block", "$.additionalContext"), "\n")) - 1).cast("long").alias("n"))
+    return search.context_block(found).select("query_id", F.get_json_object("block", "$.additionalContext").alias("block"))
 
 
 @query(f"""
@@ -82,8 +82,8 @@ def merged_collections(t: Tables) -> DataFrame:
     return out.select("id", "query_id", F.round("score", 4).alias("score"))
 
 
-def related(t: Tables) -> DataFrame:
-    found = search.nearest(points(t), queries(t), 4)
+def related(t: Tables, of: DataFrame | None = None) -> DataFrame:
+    found = search.nearest(points(t), queries(t) if of is None else of, 4)
     return found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), (F.col("rank") - 1).alias("pos"))
 
 
@@ -113,11 +113,12 @@ def graph_hops(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH e AS ({EDGES}), h AS ({PER_QUERY}), s AS (SELECT query_id, id AS doc, rank AS o FROM h WHERE rank <= 3),
+WITH e AS ({EVERY_EDGE}), h AS ({PER_QUERY}), s AS (SELECT query_id, id AS doc, rank AS o FROM h WHERE rank <= 3),
 r AS (SELECT s.query_id, e.dst AS doc, s.o * 100 + e.pos AS o, s.doc AS via FROM s JOIN e ON e.src = s.doc)
 SELECT query_id, doc, 1 AS hop, arg_min(via, o) AS via FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = r.query_id AND s.doc = r.doc) GROUP BY 1, 2""")
 def search_with_hops(t: Tables) -> DataFrame:
-    return graph.search_with_hops(search.nearest(points(t), queries(t), 3), related(t), 1)
+    every = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return graph.search_with_hops(search.nearest(points(t), queries(t), 3), related(t, every), 1)
 
 
 @query(f"SELECT dst, list_sort(list_distinct(list(src))) AS sources FROM ({EDGES}) GROUP BY 1")

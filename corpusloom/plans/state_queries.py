@@ -65,13 +65,12 @@ def broken_related(t: Tables) -> DataFrame:
     return out.select("doc", F.col("related_file").alias("related"))
 
 
-LINK = "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <= (SELECT max(s_suppkey) FROM supplier)"
+LINK = "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem"
 
 
 @query(f"WITH e AS ({LINK}) SELECT src AS doc, dst AS related FROM e WHERE dst % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")
 def one_way_link(t: Tables) -> DataFrame:
-    top = t.supplier.agg(F.max("s_suppkey").alias("top"))
-    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).join(F.broadcast(top), F.col("src") <= F.col("top")).drop("top")
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     known = t.supplier.select(F.col("s_suppkey").alias("path"), F.when(F.col("s_suppkey") % 4 != 0, "x").alias("frontmatter"))
     return checks.one_way_links(edges, known).select("doc", F.col("related_file").alias("related"))
 
@@ -258,8 +257,8 @@ def version_history(t: Tables) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE NOT (ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND event_type <> 'view')")
 def ttl_expire(t: Tables) -> DataFrame:
-    now = t.events.agg(F.max("ts").cast("timestamp").alias("now"))
-    rows = t.events.join(F.broadcast(now)).select("event_id", "now", F.col("ts").cast("timestamp").alias("orphaned_at"), F.when(F.col("event_type") == "view", "").otherwise("x").alias("sidecar_id"))
+    now = t.events.agg(F.max("ts").cast("timestamp")).scalar()
+    rows = t.events.select("event_id", now.alias("now"), F.col("ts").cast("timestamp").alias("orphaned_at"), F.when(F.col("event_type") == "view", "").otherwise("x").alias("sidecar_id"))
     return lifecycle.expire(rows, F.col("now"), 7).select("event_id")
 
 
@@ -293,10 +292,10 @@ def issue_lifecycle(t: Tables) -> DataFrame:
     return lifecycle.issue_history(before, now).select("id", "doc", "state")
 
 
-@query("SELECT count(*) FILTER (quality = 0) AS stale, count(*) AS total, count(*) FILTER (quality = 0) >= 0.3 * count(*) AS alert FROM labels")
+@query("SELECT stale, total, CASE WHEN stale >= 0.3 * total THEN printf('%d of %d (%d%%) are stale', stale, total, (100 * stale // total)) END AS message FROM (SELECT count(*) FILTER (quality = 0 OR doc_id % 3 = 0) AS stale, count(*) AS total FROM labels)")
 def stale_alert(t: Tables) -> DataFrame:
-    state = t.labels.select(F.when(F.col("quality") == 0, "stale").otherwise("embedded").alias("status"))
-    return lifecycle.stale_alert(state).select("stale", "total", F.col("message").isNotNull().alias("alert"))
+    state = t.labels.select(F.when((F.col("quality") == 0) | (F.col("doc_id") % 3 == 0), "stale").otherwise("embedded").alias("status"))
+    return lifecycle.stale_alert(state).select("stale", "total", "message")
 
 
 @query("SELECT count(*) FILTER (quality = 1) AS embedded, count(*) FILTER (quality = 0) AS skipped, 0::BIGINT AS error FROM labels")

@@ -187,9 +187,9 @@ def last_commits(log: DataFrame) -> DataFrame:
 
 def changed_since(log: DataFrame, after: str, excluded: Iterable[str] = ()) -> DataFrame:
     """Markdown and metadata paths touched by commits after one (all of them if it is unknown)."""
-    since = log.filter(F.col("commit") == after).agg(F.max("committed").alias("_since"))
+    since = log.filter(F.col("commit") == after).agg(F.max("committed")).scalar()
     kind = F.col("path").endswith(".md") | F.col("path").endswith(".embed-meta.yaml")
-    found = log.filter(kind & ~text.excluded(F.col("path"), list(excluded))).join(F.broadcast(since))
+    found = log.filter(kind & ~text.excluded(F.col("path"), list(excluded))).withColumn("_since", since)
     return found.filter(F.col("_since").isNull() | (F.col("committed") > F.col("_since"))).select("path").distinct()
 
 

@@ -196,12 +196,79 @@ def test_collection_names(spark, name, ok):
 
 def test_many_queries_meet_by_blocks(spark, monkeypatch):
     rnd = random.Random(2)
-    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)]
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(200, [0.0] * 8), (201, [1.0]), (202, None)]
     p = spark.createDataFrame(rows, "id long, vector array<double>")
     q = p.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     few = sorted(tuple(r) for r in search.nearest(p, q, 3).select("query_id", "id", "rank").collect())
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 5)
+    pairs = sorted((r["a"], r["b"]) for r in search.near_duplicates(p, 0.5).collect())
+    cos = lambda x, y: sum(map(float.__mul__, x, y)) / (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    assert pairs == [(i, j) for i, x in rows[:120] for j, y in rows[:120] if i < j and cos(x, y) > 0.5]
+    for i, x in rows[:120]:
+        best = sorted((-cos(x, y), j) for j, y in rows[:120] if j != i)[:3]
+        assert sorted((i, j, n) for n, (_, j) in enumerate(best, 1)) == [r for r in few if r[0] == i]
+    for name in ("POINT_ROWS", "QUERY_ROWS", "AT_ONCE"):
+        monkeypatch.setattr(search, name, 30)
     assert sorted(tuple(r) for r in search.nearest(p, q, 3).select("query_id", "id", "rank").collect()) == few
+    assert sorted((r["a"], r["b"]) for r in search.near_duplicates(p, 0.5).collect()) == pairs
+
+
+def test_recall(spark):
+    points = [(1, [1.0, 0.0], "a_doc", "docs/x.md", "x", "one"), (2, [0.7, 0.7], "b_doc", "", "y", "two"), (3, [0.0, 1.0], "a_notes", None, "z", "three")]
+    p = spark.createDataFrame(points, "id long, vector array<double>, collection string, file_path string, slug string, text string")
+    prompts = spark.createDataFrame([(11, "sure", [1.0, 0.0]), (12, "yes", [0.9, 0.6]), (13, "no", [0.9, 0.6]), (14, "late", [0.9, 0.6]), (15, "broken", [0.9, 0.6]), (16, "far", [-1.0, -1.0])], "query_id long, prompt string, query array<double>")
+
+    def judge(prompt, excerpts):
+        if prompt == "late":
+            raise TimeoutError
+        return {"yes": True, "no": False}[prompt]
+
+    got = {r["query_id"]: r["block"] for r in search.recall(p, prompts, judge, current="a", mode="include", k=2).collect()}
+    assert set(got) == {11, 12, 14} and "docs/x.md (1.00): one" in got[11] and "two" not in got[12]
+
+
+def test_extractions_are_cut_by_their_kind():
+    table = "| a | b |\n|---|---|\n| 1 | 2 |"
+    text = f"intro\n\n{table}\n\noutro"
+    by_table, plain = [("text", "intro"), ("table", table), ("text", "outro")], [("text", text)]
+    for content, tables, want in (("text", False, by_table), ("mixed", False, by_table), ("image", True, by_table), ("image", False, plain), ("table", False, plain)):
+        assert chunking.chunk_extraction(text, content=content, tables=tables) == want
+    assert chunking.chunk_extraction(" ") == []
+
+
+def greedy(paragraphs, most, overlap):
+    """Paragraph by paragraph."""
+    out, now = [], []
+
+    def fits(p):
+        return sum(map(chunking.tokens, now)) + chunking.tokens(p) <= most
+
+    for p in paragraphs:
+        if now and not fits(p):
+            out.append("\n\n".join(now))
+            lead = chunking.tail_words(out[-1], overlap) if overlap > 0 else ""
+            now = [f"{lead} {p}"] if lead else [p]
+            heads = [lead, p] if lead else [p]
+            out.append(heads)  # how it begins
+        else:
+            now.append(p)
+    return out, now
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=30).map(" ".join), max_size=9), st.integers(3, 60), st.integers(0, 20))
+def test_plain_chunks_are_greedy(paragraphs, most, overlap):
+    got = chunking.chunk_plain("\n\n".join(paragraphs), most, overlap)
+    done, rest = greedy(paragraphs, most, overlap)
+    assert len(got) == sum(isinstance(x, str) for x in done) + bool(rest)
+    # each chunk: a lead of the one before, then whole paragraphs, all of them once
+    at = 0
+    for i, chunk in enumerate(got):
+        parts = chunk.split("\n\n")
+        lead = chunking.tail_words(got[i - 1], overlap) if i and overlap > 0 else ""
+        parts = parts[len(lead.split("\n\n")) :] if lead else parts
+        assert parts == paragraphs[at : at + len(parts)] and parts
+        at += len(parts)
+    assert at == len(paragraphs)
 
 
 def test_repository_end_to_end(spark, tmp_path):
