@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by learned partitions.
 
 Fitting, on a bounded sample (FIT_ROWS vectors, those with the least hashes of their ids): the exact neighbour graph of
-the sample, a balanced partition of that graph into PARTS parts (recursive bisection along a smooth vector of the graph,
-then exchanges that cut fewer edges and keep the sizes), and a small classifier (one hidden layer) that predicts the part
-of a vector. Indexing covers every row: it goes to its most probable part. A query goes to its most probable parts; how
-many is chosen at fitting, as the fewest that reach GOAL recall for sample rows kept out of the classifier's training.
-Parts are searched exactly, in blocks, and the best of all parts are merged; scores are inner products of the original
-vectors in double precision.
+the sample, a balanced partition of that graph (recursive bisection along a smooth vector of the graph, then exchanges
+that cut fewer edges and keep the sizes) into one part for each BLOCK_ROWS rows of the table, within PARTS and MOST_PARTS,
+and a small classifier (one hidden layer) that predicts the part of a vector. Indexing covers every row: it goes to its
+most probable part. A query goes to its most probable parts; how many is measured on the whole index, as the fewest that
+reach GOAL recall for TESTED vectors that the classifier was not fitted on, whose nearest rows are found by brute force.
+Neighbours are nearer in a larger table, so a query then visits a smaller share of it. Parts are searched exactly, in
+blocks, and the best of all parts are merged; scores are inner products of the original vectors in double precision.
 
 Large parts are dealt over several blocks by hash, so that a part that holds many rows is several tasks. Equal vectors are
 one vector with a list of ids: the least TOP + 1 of them, which is all that a list of the TOP nearest can show.
@@ -29,21 +30,22 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 TOP, EVERY = 20, 20
-#: Fitting: rows of the sample, neighbours in its graph, parts, hidden units, passes, recall aimed at.
-FIT_ROWS, GRAPH, PARTS, HIDDEN, PASSES, GOAL = 8_192, 10, 16, 64, 60, 0.95
+#: Fitting: rows of the sample, neighbours in its graph, least and most parts, hidden units, passes.
+FIT_ROWS, GRAPH, PARTS, MOST_PARTS, HIDDEN, PASSES = 8_192, 10, 16, 128, 64, 60
+#: Recall aimed at, and vectors that it is measured with.
+GOAL, TESTED = 0.95, 256
 #: Rows of a block that is searched by one call, and queries that meet a block at once.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
 
 @dataclass
 class Router:
-    """The fitted classifier and the number of parts that a query visits."""
+    """The fitted classifier."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    visits: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(unit(x) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -119,8 +121,7 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = 3) -> Router:
     w1, w2 = rng.normal(size=(d, HIDDEN)) * (2 / d) ** 0.5 * d**0.5 / 2, rng.normal(size=(HIDDEN, parts)) * HIDDEN**-0.5
     params = [w1, np.zeros(HIDDEN), w2, np.zeros(parts)]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    held = rng.permutation(n)[: n // 10]
-    train = np.setdiff1d(np.arange(n), held) if parts > 1 else np.zeros(0, dtype=np.int64)
+    train = np.arange(n) if parts > 1 else np.zeros(0, dtype=np.int64)
     step = 0
     for _ in range(PASSES):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // 256)):
@@ -139,18 +140,39 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = 3) -> Router:
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.999 * m[1] + 0.001 * g * g
                 q -= 0.003 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    router = Router(*params, visits=parts)
-    if parts > 1 and len(held):
-        home = router.parts(x, 1)[:, 0]
-        tested = held[:1024]
-        s = u[tested] @ x.T
-        s[np.arange(len(tested)), tested] = -np.inf
-        top = np.argsort(-s, axis=1)[:, :TOP]
-        rank = np.argsort(router.parts(x[tested], parts), axis=1)  # at which visit a part is reached
-        reached = np.take_along_axis(rank, home[top], axis=1)
-        recall = [(reached < m).mean() for m in range(1, parts + 1)]
-        router.visits = 1 + int(np.argmax(np.array(recall) >= GOAL))
-    return router
+    return Router(*params)
+
+
+def visits(index: DataFrame, router: Router, tested: np.ndarray, top: int = TOP, goal: float = GOAL) -> int:
+    """The fewest parts that hold the goal's share of the nearest rows of the index (part, embedding) to the tested vectors.
+
+    A brute-force pass over the index for a fixed number of vectors: each task sends `top` rows for each of them.
+    """
+    parts = len(router.b2)
+    if parts == 1 or not len(tested):
+        return parts
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[list[np.ndarray]] = [[np.zeros(0), np.zeros(0, dtype=np.int64)] for _ in tested]
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x, part = np.stack(pdf["embedding"].to_numpy()), pdf["part"].to_numpy()
+            for i, s in enumerate(tested @ x.T):
+                k = min(top + 1, len(s))
+                at = np.argpartition(-s, k - 1)[:k]
+                at = at[(x[at] != tested[i]).any(axis=1)]  # the vector itself is no neighbour
+                score, where = np.concatenate([best[i][0], s[at]]), np.concatenate([best[i][1], part[at]])
+                keep = np.argsort(-score, kind="stable")[:top]
+                best[i] = [score[keep], where[keep]]
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(best)), [len(b[0]) for b in best]), "score": np.concatenate([b[0] for b in best]), "part": np.concatenate([b[1] for b in best])})
+
+    found = index.select("embedding", "part").mapInPandas(near, "q int, score double, part int")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "part")
+    found = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).groupBy("q", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most tested x top rows
+    rank = np.argsort(router.parts(tested, parts), axis=1)  # at which visit a part is reached
+    reached = np.bincount([rank[r["q"], r["part"]] for r in found], [r["n"] for r in found], parts)
+    return 1 + int(np.argmax(np.cumsum(reached) >= goal * reached.sum()))
 
 
 def _topped(score: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +186,17 @@ def search(df: DataFrame, every: int = EVERY, top: int = TOP, parts: int = PARTS
     e = F.col("embedding")
     sound = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL").filter(F.coalesce(sound, F.lit(False)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(fit_rows).collect()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(fit_rows + TESTED).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty
     sizes = [len(r[0]) for r in sample]
     dim = max(set(sizes), key=sizes.count)
     x = np.array([r[0] for r in sample if len(r[0]) == dim])
-    router = fit(np.unique(x, axis=0), parts)
+    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
+    held = min(TESTED, len(x) // 10)
+    tested, x = x[:held], x[held:]
+    router = fit(x, min(MOST_PARTS, max(parts, -(-rows.count() // BLOCK_ROWS))))
     # repeated rows go before ids are ranked, else they take the places of other ids
     rows = rows.filter(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
 
@@ -199,7 +224,7 @@ def search(df: DataFrame, every: int = EVERY, top: int = TOP, parts: int = PARTS
     index = index.withColumn("block", F.pmod(F.xxhash64("embedding"), count[F.col("part")]).cast("int"))
 
     asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
-    asked = asked.mapInPandas(route(router.visits), "vec_id long, embedding array<double>, part array<int>")
+    asked = asked.mapInPandas(route(visits(index, router, tested, top)), "vec_id long, embedding array<double>, part array<int>")
     asked = asked.withColumn("part", F.explode("part")).filter(F.map_contains_key(count, F.col("part")))
     asked = checkpoint(asked.withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("part")] - 1))))
     # more queries than one call should hold meet a block's rows in several groups

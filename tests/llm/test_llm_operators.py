@@ -500,6 +500,20 @@ def test_recall_against_brute_force(spark):
     assert hit / (150 * 20) >= 0.9 and set(got.query_id) == set(range(0, 3000, 20))
 
 
+def test_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = neighbours.search(df).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
+    given = {r["vec_id"]: r["embedding"] for r in df.collect() if r["embedding"] is not None}
+    ids = np.array(sorted(i for i, e in given.items() if e and all(v is not None and np.isfinite(v) for v in e) and any(e)))
+    x = np.array([given[i] for i in ids], dtype=float)
+    hit = 0
+    for r in got:
+        s = x @ x[np.searchsorted(ids, r["query_id"])]
+        s[ids == r["query_id"]] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & set(r["ids"]))
+    assert hit >= 0.9 * 20 * len(got) and len(got) == sum(i % 20 == 0 for i in ids)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (20, [2.0, 1.0])], "vec_id long, embedding array<double>")
     got = rows(neighbours.search(df).select("query_id", "rank", "vec_id", "score"))
