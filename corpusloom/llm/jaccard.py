@@ -65,6 +65,8 @@ LEAF = 16
 BROADCAST_ROLES = 100_000
 #: Rays of a star that are checked in one group, and the most groups of one; about so many tokens of sets on each side of a tile.
 RAYS, GROUPS, TILE = 256, 512, 400_000
+#: What a set counts in a tile besides its tokens: a tile of TILE / ROW sets on each side is a matrix of 4 million overlaps.
+ROW = 200
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -278,8 +280,9 @@ def across(points: list[np.ndarray], labels: list, num: int, den: int) -> Iterat
                 return
 
 
-def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """The overlap of each asked set with each set, by products of 0-1 matrices over the tokens that occur twice."""
+def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
+    """The overlap of each asked set with each set, by products of 0-1 matrices (of so many cells) over the tokens that occur twice."""
+    columns = max(64, cells // max(1, len(asked) + len(sets)))
     sizes = np.array([len(s) for s in asked + sets])
     tokens, number, times = np.unique(np.concatenate(asked + sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -294,7 +297,7 @@ def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], columns: int = 204
         part = np.zeros((len(sizes), min(columns, int(renumber[-1]) + 1 - a)), dtype=np.float32)
         part[row[lo:hi], column[lo:hi] - a] = 1
         out += part[: len(asked)] @ part[len(asked) :].T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _heavy(k: int):
@@ -517,7 +520,7 @@ def _joined(trees: DataFrame, docs: DataFrame, ids: DataFrame, k: int, num: int,
     sets = _fetched(rays.unionByName(pivots), docs, ids, k)
     rows = checkpoint(sets.mapInArrow(_differences, "tree binary, sid binary, label binary, pivot long, lacks long, tokens binary"))
     release(docs.sparkSession)
-    rows = rows.withColumn("_t", F.octet_length("tokens") / 8 + 1)
+    rows = rows.withColumn("_t", F.octet_length("tokens") / 8 + ROW)
     labels = rows.groupBy("tree", "label").agg(F.sum("_t").alias("n")).groupBy("tree").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("largest"), F.max("n").alias("most")
     )
