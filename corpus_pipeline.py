@@ -59,7 +59,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text gives no rows, a text with one segmentation one. Rows with equal ids and texts get equal samples.
     """
-    return pieces.encode(docs, pieces.load())
+    return pieces.encode(docs, pieces.load(), step=1 << 20)
 
 
 STAGES = [
