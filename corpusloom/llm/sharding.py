@@ -116,9 +116,14 @@ def permuted(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), x.cast("long"), walk, checked)
 
 
+def _hash(order: list[str]) -> Column:
+    """32 bits of an MD5 sum, which SQL engines agree on. Nulls are left out: equal hashes only share a bucket."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), 1, 8), 16, 10).cast("long")
+
+
 def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS, block: int = BLOCK) -> tuple[DataFrame, int]:
     """The order columns of df with `row_no`, each row's rank from 0 by (hash of the order columns, order columns), and the number of rows."""
-    df = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    df = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _hash(order) % buckets)
     # at most `buckets` rows, whatever the input: a fixed bound, so they may be ranked in one task and broadcast
     counts = df.groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect()
     first, total = {}, 0
@@ -136,9 +141,9 @@ def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS, block: int
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """row_no, shard and slot for each row of (doc_id, text), with size, CRC-32 and a 64-bit hash of the text."""
+    """row_no, shard and slot for each row of (doc_id, text), with size, CRC-32 and MD5 sum of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    rows = df.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("text_hash"))
     rows, n = numbered(rows, ["doc_id", "text_crc32", "size", "text_hash"])
     at = rows.withColumn("_place", permuted(F.col("row_no"), max(n, 1), seed))
     return at.select(
@@ -149,3 +154,43 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
 
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+def _nibble(crc: int) -> int:
+    for _ in range(4):
+        crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
+    return crc
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: CRC-32 by half bytes, row numbers by one sort, and the walk as a recursion."""
+    steps = f"[{', '.join(str(_nibble(i)) for i in range(16))}]"
+    low = f"xor(xor(c, b) >> 4, {steps}[(xor(c, b) & 15) + 1])"
+    crc = f"xor(({low}) >> 4, {steps}[(({low}) & 15) + 1])"
+    turn = "SELECT row_no, step, lo, hi, p >> hi AS l, p & ((1::BIGINT << hi) - 1) AS r FROM walk CROSS JOIN size WHERE step = 0 OR p >= n"
+    for i, (a, b) in enumerate(keys(SEED, ROUNDS)):
+        mask = f"((1::BIGINT << {('lo', 'hi')[i % 2]}) - 1)"
+        turn = f"SELECT row_no, step, lo, hi, r AS l, xor(l, ((t * t + t + {a % 65_521}) % {PRIME}) & {mask}) AS r FROM (SELECT *, (r * {a} + {b}) % {PRIME} AS t FROM ({turn}))"
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
+), sums AS (
+  SELECT doc_id, octet_length(encode(text))::BIGINT + 16 AS size, md5(text) AS text_hash, xor(4294967295, list_reduce(
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: {crc}, 4294967295::BIGINT)) AS text_crc32
+  FROM texts
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', doc_id, text_crc32, size, text_hash)), 1, 8))::BIGINT % {BUCKETS},
+    doc_id NULLS FIRST, text_crc32, size, text_hash) - 1 AS row_no FROM sums
+), size AS (
+  SELECT n, bits // 2 AS lo, bits - bits // 2 AS hi FROM (SELECT count(*) AS n, greatest(2, length(bin(greatest(count(*), 1) - 1))) AS bits FROM numbered)
+), walk(row_no, p, step) AS (
+  SELECT row_no, row_no, 0 FROM numbered
+  UNION ALL
+  SELECT row_no, (l << {('hi', 'lo')[ROUNDS % 2]}) | r, step + 1 FROM ({turn})
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INT AS shard, (p // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, row_no, text_hash
+FROM numbered JOIN walk USING (row_no) CROSS JOIN (SELECT n FROM size) WHERE step > 0 AND p < n
+"""
+
+
+SQL = _sql()
