@@ -664,3 +664,34 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+#: All pairs that share a shingle, and what is reachable by links: for small tables only.
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM texts
+), sets AS (
+  SELECT r, list_sort(s) AS s, len(s) AS n FROM shingles
+), kinds AS (
+  SELECT s, n, min(r) AS kind FROM sets WHERE n > 0 GROUP BY s, n
+), tokens AS (
+  SELECT kind, n, md5_number(unnest(s)) AS t FROM kinds
+), links AS (
+  SELECT a.kind AS x, b.kind AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.kind < b.kind AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.kind, b.kind, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT kind, kind FROM kinds
+  UNION
+  SELECT reach.x, e.y FROM reach JOIN edges e ON e.x = reach.y
+), groups AS (
+  SELECT x AS kind, min(y) AS g FROM reach GROUP BY x
+), rows AS (
+  SELECT c.r, c.doc_id, len(c.s)::BIGINT AS n_shingles, g.g FROM shingles c JOIN sets USING (r) LEFT JOIN kinds k ON k.s = sets.s LEFT JOIN groups g ON g.kind = k.kind
+)
+SELECT doc_id, n_shingles, CASE WHEN g IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS component_id FROM rows
+"""

@@ -121,3 +121,45 @@ def judge(df: DataFrame) -> DataFrame:
 
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+def _each(part: str) -> str:
+    """part for each window size, of which SQL has a column each."""
+    return ", ".join(part.format(k=k, last=k - 1, most=MOST_COVERED.get(k)) for k in (BASE_WINDOW, *MOST_COVERED))
+
+
+_BLANK = r"\x20\x09-\x0D"
+
+#: Runs of words are compared as strings.
+SQL = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT r, regexp_extract_all(text, '[^{_BLANK}]+') AS w FROM texts)
+), runs AS (
+  SELECT r, i, length(word) AS chars, max(i) OVER (PARTITION BY r) AS n,
+    {_each("string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING) AS run_{k}")} FROM words
+), again AS (
+  SELECT r, i, chars, {_each("i + {last} <= n AND count(*) OVER (PARTITION BY r, i + {last} <= n, run_{k}) > 1 AS again_{k}")} FROM runs
+), inside AS (
+  SELECT r, chars, {_each("max(again_{k}::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {last} PRECEDING AND CURRENT ROW) AS in_{k}")} FROM again
+), totals AS (
+  SELECT r, count(*) AS n_words, sum(chars) AS word_chars, sum(in_{BASE_WINDOW}) AS n_repeat_words, {_each("sum(in_{k} * chars) AS chars_{k}")} FROM inside GROUP BY r
+), lines AS (
+  SELECT r, line, count(*) AS n, length(regexp_replace(line, '[{_BLANK}]', '', 'g')) AS chars
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^{_BLANK}]') GROUP BY r, line
+), repeats AS (
+  SELECT r, sum(n - 1) AS n_dup_lines, sum(n * chars) FILTER (n > 1) AS line_chars FROM lines GROUP BY r
+), measures AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(line_chars / word_chars::DOUBLE, 0) AS line_share,
+    {", ".join(f"coalesce(chars_{k} / word_chars::DOUBLE, 0) AS share_{k}" for k in MOST_COVERED)}
+  FROM texts LEFT JOIN totals USING (r) LEFT JOIN repeats USING (r)
+), judged AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures
+)
+SELECT *, NOT (base_failed OR line_share > {MOST_LINES}::DOUBLE OR n_symbols > {MOST_SYMBOLS}::DOUBLE * n_words
+  OR {" OR ".join(f"share_{k} > {most}::DOUBLE" for k, most in MOST_COVERED.items())}) AS kept
+FROM judged
+"""

@@ -27,4 +27,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mix": mixing.SQL}
+    return {
+        "op5_poisson_mix": mixing.SQL,
+        "op6_count_vector_join": jaccard.SQL,
+        "op8_suffix_dedup": suffixes.SQL,
+        "op9_feistel_shards": sharding.SQL,
+        "op10_repetition_coverage": quality.SQL,
+    }

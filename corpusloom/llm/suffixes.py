@@ -380,3 +380,30 @@ def dedup(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+#: Every string of SPAN bytes by its MD5 sum: for small tables only.
+SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), places AS (
+  SELECT r, unnest(range(octet_length(b) - {SPAN - 1})) AS i FROM texts WHERE octet_length(b) >= {SPAN}
+), strings AS (
+  SELECT r, i, md5_number(b[i + 1:i + {SPAN}]) AS h FROM places JOIN texts USING (r)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM strings) WHERE n > 1
+), begins AS (
+  SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {SPAN}, true) AS new FROM again
+), spans AS (
+  SELECT r, min(i) AS lo, max(i) + {SPAN} AS hi FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS s FROM begins) GROUP BY r, s
+), pieces AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS e FROM spans
+  UNION ALL SELECT t.r, coalesce(max(hi), 0), octet_length(any_value(t.b)) FROM texts t LEFT JOIN spans USING (r) GROUP BY t.r
+), kept AS (
+  SELECT r, string_agg(hex(b[a + 1:e]), '' ORDER BY a) AS k FROM pieces JOIN texts USING (r) GROUP BY r
+), removed AS (
+  SELECT r, sum(hi - lo) AS n, count(*) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM texts JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""

@@ -612,3 +612,27 @@ def test_judge_keeps_columns(spark, sf):
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == kept
 
 
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name, run, sql", [
+    ("op6", lambda df: jaccard.clusters(df, 3, 90, 100), jaccard.SQL), ("op8", suffixes.dedup, suffixes.SQL), ("op9", sharding.shard, sharding.SQL), ("op10", quality.quality, quality.SQL),
+])
+def test_odd_rows_by_sql(spark, sf, tmp_path, name, run, sql):
+    """The registered SQL and the operator agree on nulls, empty and long texts, ties and repeated rows, and on no rows."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    tail = " ".join(f"w{i}" for i in range(120))
+    data = ODD + sample(spark, sf) + [(20, "one two"), (21, "One  TWO"), (22, "one"), (23, f"start {tail}"), (24, f"{tail} end"), (25, tail)]
+    for part in (data, data[:1], []):
+        path = str(tmp_path / f"{name}{len(part)}.parquet")
+        pq.write_table(pa.table({"doc_id": pa.array([d for d, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string())}), path)
+        c = duckdb.connect()
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        want, out = c.sql(sql), run(documents(spark, part))
+        assert set(want.columns) <= set(out.columns)
+        assert rows(out.select(*want.columns)) == sorted(want.fetchall(), key=repr)
