@@ -168,3 +168,15 @@ def write_scan(issues: DataFrame, path: str) -> None:
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def missing_names(expected: DataFrame, *there: DataFrame, name: str = "name") -> DataFrame:
+    """Expected names that are in none of the other tables."""
+    for found in there:
+        expected = expected.join(found.select(name), name, "left_anti")
+    return expected.select(name)
+
+
+def unlisted(lines: Column, entries: Column, parents: Column) -> Column:
+    """The entries that are not among the lines of an ignore file; none where a line covers their folder."""
+    return F.when(F.arrays_overlap(lines, parents), F.array().cast("array<string>")).otherwise(F.array_except(entries, lines))

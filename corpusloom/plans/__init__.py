@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries, state_queries, text_queries, upkeep_queries  # noqa: F401  they register themselves
+from . import search_queries, state_queries, store_queries, text_queries, upkeep_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL, Query
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, text, time, vector
-from corpusloom.operators import audit, checks, chunking, graph, lifecycle, pages, search
+from corpusloom.operators import audit, checks, chunking, graph, lifecycle, models, pages, search, store
 from corpusloom.sources import corpus
 from corpusloom.streaming import changes
 
@@ -343,12 +343,129 @@ def test_sidecar_upkeep(spark):
     assert lifecycle.orphaned(side, files).count() == 1
 
 
-def test_stream_follows_snapshots(spark, tmp_path):
+@pytest.mark.parametrize("every", [32, 2])
+def test_stream_follows_snapshots(spark, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(changes, "EVERY", every)
     snaps, state, actions = (str(tmp_path / x) for x in ("snaps", "state", "actions"))
-    for i, rows in enumerate(([("a", 1.0, "x"), ("b", 1.0, "y")], [("a", 2.0, "z"), ("b", 2.0, "y")])):
+    steps = [[("a", 1.0, "x"), ("b", 1.0, "y")], [("a", 2.0, "z"), ("b", 2.0, "y")], [("c", 1.0, "u"), ("a", 2.0, "z")], [("b", 3.0, "v")], [("a", 3.0, "w"), ("a", 4.0, "t")], [("d", 1.0, "x")]]
+    for i, rows in enumerate(steps):
         spark.createDataFrame(rows, "path string, mtime double, hash string").coalesce(1).write.parquet(f"{snaps}/{i}")
         stream = spark.readStream.schema("path string, mtime double, hash string").parquet(f"{snaps}/*")
         changes.follow(stream, state, actions, str(tmp_path / "check")).awaitTermination(120)
-    got = {r["path"]: r["generation"] for r in changes.newest(spark, state).collect()}
-    assert got == {"a": 2, "b": 1}
-    assert {(r["path"], r["action"]) for r in spark.read.parquet(f"{actions}/n1").collect()} == {("a", "reembed"), ("b", "skip_hash")}
+    want = {"a": (4.0, "t", 3), "b": (3.0, "v", 2), "c": (1.0, "u", 1), "d": (1.0, "x", 1)}
+    found = lambda: {r["path"]: (r["file_mtime"], r["file_hash"], r["generation"]) for r in changes.newest(spark, state).collect()}
+    assert found() == want
+    done = lambda n: {(r["path"], r["action"]) for r in spark.read.parquet(f"{actions}/n{n}").collect()}
+    assert done(1) == {("a", "reembed"), ("b", "skip_hash")} and done(2) == {("c", "new"), ("a", "skip_mtime")}
+    for n in (4, 5):  # run again after a failure
+        changes.apply(spark.createDataFrame(steps[n], "path string, mtime double, hash string"), n, state, actions)
+    assert found() == want and done(4) == {("a", "reembed")} and done(5) == {("d", "new")}
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "state").glob("whole=*/batch=*"))
+    assert kept == ([3, 4, 5] if every == 2 else [0, 1, 2, 3, 4, 5])
+
+
+def test_models(spark):
+    asked = []
+
+    def short(most):
+        def embed(text):
+            asked.append(text)
+            if len(text.split()) > most:
+                raise models.TooLong
+            return [len(text.split())]
+
+        return embed
+
+    words = " ".join(f"w{i}" for i in range(40))
+    assert models.embed_one(short(23), words) == [23] and [len(t.split()) - 1 for t in asked] == [40, 30, 22]
+    assert all(t.startswith("search_document: w0 w1") for t in asked)
+    for most, tried in ((5, 4), (16, 4)):
+        asked.clear()
+        with pytest.raises(models.TooLong):
+            models.embed_one(short(most), words)
+        assert len(asked) == tried
+    asked.clear()
+    with pytest.raises(models.TooLong):
+        models.embed_one(short(3), "only twelve words are in this text and so it has one more")
+    assert len(asked) == 1
+    seen = []
+
+    def slow(cancelled):
+        cancelled.wait(10)
+        seen.append(cancelled.is_set())
+
+    with pytest.raises(models.Late):
+        models.within(0.05, slow)
+    assert models.within(5, lambda _: 3) == 3
+    with pytest.raises(KeyError):
+        models.within(5, lambda _: {}["x"])
+
+    def load():
+        import time
+
+        def embed(text):
+            if "slow" in text:
+                time.sleep(5)
+            if "bad" in text:
+                raise OSError("no")
+            return [1.0]
+
+        return embed
+
+    df = spark.createDataFrame([("a", 0, "fine"), ("a", 1, "bad"), ("a", 2, None), ("b", 0, "slow"), ("b", 1, "fine too")], "slug string, chunk_index int, text string").coalesce(1)
+    got = {(r["slug"], r["chunk_index"]): (r["vector"], (r["error"] or "").split(":")[0]) for r in models.embedded(df, load, seconds=1.0).collect()}
+    assert got == {("a", 0): ([1.0], ""), ("a", 1): (None, "OSError"), ("a", 2): (None, "ValueError"), ("b", 0): (None, "Late"), ("b", 1): ([1.0], "")}
+    assert seen == [True] or not seen
+
+
+def test_page_vectors(spark):
+    def load():
+        def embed(images):
+            if b"bad" in images:
+                raise OSError
+            return [[[float(len(i)), 1.0]] * 2 for i in images]
+
+        return embed
+
+    def absent():
+        raise ImportError
+
+    df = spark.createDataFrame([("a", i, bytearray(b"bad" if i == 5 else b"x" * i)) for i in range(1, 7)] + [("a", 9, None)], "slug string, page_num int, png binary").coalesce(1)
+    got = {r["page_num"]: r["vectors"] for r in models.page_vectors(df, load, 2).collect()}
+    assert got == {i: [[i, 1.0]] * 2 for i in range(1, 5)}
+    assert models.page_vectors(df, absent).count() == 0
+
+
+def test_store(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    made = store.create_if_missing(spark, folder, "p_visual", "visual", "slug string")
+    assert made.count() == 0 and made.schema["vectors"].metadata["size"] == 128
+    spark.createDataFrame([("1", [[1.0]], "s")], made.schema).write.mode("append").parquet(f"{folder}/p_visual")
+    assert store.create_if_missing(spark, folder, "p_visual", "visual", "slug string").count() == 1
+    pages_ = spark.createDataFrame([("cache/x/page_0001.png", bytearray(b"1")), ("cache/y/page_0002.png", bytearray(b"2")), (None, bytearray(b"3"))], "path string, png binary")
+    assert store.write_page_files(pages_, str(tmp_path)).count() == 2
+    assert (tmp_path / "cache/y/page_0002.png").read_bytes() == b"2" and len(list(tmp_path.glob("cache/*/*"))) == 2
+
+
+def test_single_writer(tmp_path):
+    import os
+    import socket
+    import subprocess
+
+    lock = tmp_path / "lock"
+    with store.single_writer(str(lock)):
+        assert lock.read_text() == f"{socket.gethostname()} {os.getpid()}"
+        with pytest.raises(store.Busy):
+            with store.single_writer(str(lock)):
+                pass
+    assert not lock.exists()
+    gone = subprocess.Popen(["true"])
+    gone.wait()
+    for left in (f"{socket.gethostname()} {gone.pid}", "", "nonsense", f"{socket.gethostname()} -1"):
+        lock.write_text(left)
+        with store.single_writer(str(lock)):
+            pass
+    lock.write_text("elsewhere 1")
+    with pytest.raises(store.Busy):
+        with store.single_writer(str(lock)):
+            pass
