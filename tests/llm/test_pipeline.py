@@ -120,5 +120,6 @@ def test_matches_sql(spark, sf, name):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     got, want = queries.queries()[name](spark, sf).toPandas(), c.sql(queries.oracle_sql()[name]).df()
     columns = sorted(got.columns)
+    want = want.astype({c: float for c in want.columns if str(want[c].dtype).startswith("Int")})  # integers with nulls, as the other side gives them
     plain = lambda d: sorted(tuple(map(str, r)) for r in d[columns].itertuples(index=False))
     assert columns == sorted(want.columns) and plain(got) == plain(want)
