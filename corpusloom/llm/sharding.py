@@ -125,7 +125,7 @@ def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS, block: int
     """The order columns of df with `row_no`, each row's rank from 0 by (hash of the order columns, order columns), and the number of rows."""
     df = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _hash(order) % buckets)
     # at most `buckets` rows, whatever the input: a fixed bound, so they may be ranked in one task and broadcast
-    counts = df.groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect()
+    counts = df.groupBy("_bucket").agg(F.sum("_n").alias("_n"), F.max("_n").alias("_most")).collect()
     first, total = {}, 0
     for r in sorted(counts, key=lambda r: r["_bucket"]):
         first[r["_bucket"]] = total
@@ -134,7 +134,7 @@ def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS, block: int
     before = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     out = df.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(firsts), "_bucket")
     out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {block}"))))
-    if df.filter(F.col("_n") > block).take(1):
+    if any(r["_most"] > block for r in counts):
         out = out.repartition(*order, "_block")
     out = out.withColumn("_at", F.explode(F.sequence(F.col("_block") * block, F.least(F.col("_n"), (F.col("_block") + 1) * block) - 1)))
     return out.select(*order, (F.col("_first") + F.col("_before") + F.col("_at")).alias("row_no")), total
