@@ -48,11 +48,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, buffers, checkpoint, mix, release, slices, table
 from .graph import components
 
-#: A token in this share of the documents of a batch, and in HEAVY_LEAST of them, goes to the end of the order.
-HEAVY_SHARE, HEAVY_LEAST = 0.004, 8
-#: Share of all documents from which it is kept as such, and the most that are kept, the most frequent ones (8 bytes each,
+#: Tokens are counted in one of so many distinct texts; those in HEAVY_LEAST of these, so in about PART of all, at any
+#: number of documents, go to the end of the order. The most that are kept, the most frequent ones (8 bytes each,
 #: broadcast). Any order of tokens, the same for all sets, loses nothing.
-HEAVY_ALL, HEAVY_MOST = 0.001, 1 << 20
+HEAVY_SAMPLE, HEAVY_LEAST, HEAVY_MOST = 16, 8, 1 << 20
 #: Sets of a token that one task compares at once, parts that the second pass takes as one, and so many tokens (or windows
 #: of them) whose list is broadcast.
 PART, TAKEN, BROADCAST_TOKENS = 128, 4, 50_000
@@ -300,18 +299,24 @@ def overlaps(asked: list[np.ndarray], sets: list[np.ndarray], cells: int = 1 <<
     return out.astype(np.int32)
 
 
-def _heavy(k: int):
+def heavy_tokens(docs: DataFrame, k: int) -> np.ndarray:
+    """The sorted tokens that go to the end of the order, by a count in a sample of the texts of (text, key).
+
+    What counts is how many sets meet in a token's block, not their share: a line in a thousandth of all documents makes
+    a block whose pairs grow with the square of the table.
+    """
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # whole batches: a count within a slice of a few hundred texts would say little
             found = [s for part in slices(batch, "text") for s in shingle_sets(part.column("text"), k)]
-            if not found:
-                continue
-            tokens, times = np.unique(np.concatenate(found), return_counts=True)
-            much = times >= max(HEAVY_LEAST, HEAVY_SHARE * len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[much].view(np.int64)), pa.array(times[much])], ["token", "n"])
+            if found:
+                tokens, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(times)], ["token", "n"])
 
-    return count
+    some = docs.filter(F.pmod(F.xxhash64("key"), F.lit(HEAVY_SAMPLE)) == 0).groupBy("key").agg(F.first("text").alias("text"))
+    counted = some.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = counted.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "token").limit(HEAVY_MOST).select("token").toArrow()
+    return np.sort(counted.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _signed(k: int, heavy, num: int, den: int):
@@ -581,11 +586,7 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("key", text_key(F.col("text")))
-    counted = docs.select("text").mapInArrow(_heavy(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    least = max(HEAVY_LEAST, int(HEAVY_ALL * docs.count()))
-    counted = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(HEAVY_MOST)
-    tokens = np.sort(np.array([r["token"] for r in counted.select("token").collect()], dtype=np.int64).view(np.uint64))
-    heavy = spark.sparkContext.broadcast(tokens)
+    heavy = spark.sparkContext.broadcast(heavy_tokens(docs, k))
 
     signed = checkpoint(docs.mapInArrow(_signed(k, heavy, num, den), "doc_id long, key binary, n long, sid binary, point binary, tokens array<long>"))
     unique = signed.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.first("point").alias("point"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
@@ -593,6 +594,7 @@ def linked(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     points = unique.select("sid", "point")
     posted = unique.select("sid", "n", F.explode("tokens").alias("token"))
     big = checkpoint(signed.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("token"))
+    release(spark)
     some, zero = bool(big.take(1)), F.lit(0).cast("long")
     fitting = checkpoint(_fitting(posted, big, num, den))
     first = blocks = fitting.filter("NOT big").select("token", F.lit(-2).cast("long").alias("w"), zero.alias("i"), zero.alias("j"), "sid")

@@ -446,6 +446,23 @@ def revisions(rnd, length, words=60, changed=1):
     return out
 
 
+def test_lines_of_many_unlinked_texts_make_no_blocks(spark, monkeypatch):
+    """Five of the 40 texts of each batch have one line, so 250 of all: many for a block, though few of a batch."""
+    monkeypatch.setattr(jaccard, "PART", 16)
+    line = " ".join(f"line{i}" for i in range(12))
+    data = [(i, " ".join(f"w{i}_{j}" for j in range(30)) + (f"\n{line}" if i % 8 == 0 else "")) for i in range(2000)]
+    data += [(5000 + i, t.replace(f"w{i}_0 ", "other ")) for i, t in data[:16]]
+    split, windows = [], jaccard._windows
+    monkeypatch.setattr(jaccard, "_windows", lambda posted, *a: split.append(posted.count()) or windows(posted, *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.clusters(documents(spark, data), 5, 80, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i % 5000 for i, _ in data}
+    assert not split
+
+
 def test_pairs_between_rays_leave_a_block_open():
     rnd = np.random.default_rng(3)
     for _ in range(300):
