@@ -206,22 +206,34 @@ class Lattice:
         # backward log-sum-exp, by distance from the end of the unit; every unit has a node after its last character
         self.node = node = np.arange(n) + np.repeat(np.arange(len(kinds)), self.length)
         self.beta = beta = np.zeros(n + len(kinds))
-        few = 3  # most characters begin few pieces: two runs for each distance, the first with so many columns
-        key = 2 * left + (many > few)
+        # runs for each distance and number of pieces; one piece has chance 1, and more are summed a column at a time
+        key = 4 * left + np.minimum(many, 4) - 1
         order = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 65_536 else key, kind="stable")
         ordered = key[order]
         cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if n else np.zeros(1, dtype=np.int64)
-        self.ladder = np.full(weight.shape, 2.0, dtype=np.float32)
+        logs, sizes, here = weight.take(order, axis=0), self.size.take(order, axis=0), node[order]
+        ladder = np.full(weight.shape, 2.0, dtype=np.float32)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            rows = order[a:b]
-            width = weight.shape[1] if ordered[a] & 1 else few
-            x = weight[rows, :width] + beta[node[rows][:, None] + self.size[rows, :width]]
-            top = x.max(axis=1)
-            part = np.cumsum(np.exp(x - top[:, None]), axis=1)
-            total = top + np.log(part[:, -1])
-            beta[node[rows]] = total
-            weight[rows, :width] = x - total[:, None]
-            self.ladder[rows, :width] = part / part[:, -1:]
+            width = int(ordered[a] & 3) + 1
+            if width == 1:
+                beta[here[a:b]] = logs[a:b, 0] + beta[here[a:b] + sizes[a:b, 0]]
+                logs[a:b, 0] = 0
+                continue
+            if width == 4:
+                width = weight.shape[1]
+            x = beta[np.add(here[a:b], sizes[a:b, :width].T, order="C")]
+            x += logs[a:b, :width].T
+            top = x.max(axis=0)
+            part = np.cumsum(np.exp(x - top), axis=0)
+            total = top + np.log(part[-1])
+            beta[here[a:b]] = total
+            x -= total
+            part /= part[-1].copy()
+            for j in range(width):
+                logs[a:b, j], ladder[a:b, j] = x[j], part[j]
+        weight[order] = logs
+        self.ladder = np.empty_like(ladder)
+        self.ladder[order] = ladder
         self.chance = weight
         self.ladder[np.arange(n), many - 1] = 2.0  # above any random number
         self.short = np.ascontiguousarray(self.ladder[:, :4])
@@ -264,19 +276,28 @@ def walk(lattice: Lattice, keys: np.ndarray, unit: np.ndarray, place: np.ndarray
     # units are counted from the end of the text, where all paths of a text agree
     key = mix(keys[walker] + (left[walker] - own).astype(np.uint64) * np.uint64(BASE))
     moves, counts, turn = [], np.zeros(len(walker), dtype=np.int64), 0
-    table_short, ladder = lattice.short, lattice.ladder
+    table_short, ladder, sizes, width = lattice.short, lattice.ladder, lattice.size.ravel(), lattice.size.shape[1]
     alive = np.arange(len(walker))
     while len(alive):
         u = (key >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)  # the leading bits of the draw
-        short = table_short[at]
-        column = (short > u[:, None]).argmax(axis=1)
-        beyond = np.flatnonzero(u >= short[:, -1])  # few characters begin many pieces
-        column[beyond] = (ladder[at[beyond]] > u[beyond, None]).argmax(axis=1)
-        close = np.flatnonzero((ladder[at, column] - u < NEAR) | (u - np.where(column > 0, ladder[at, column - 1], -1) < NEAR))
+        short = table_short.take(at, axis=0)
+        # how many limits lie below, were the draw a little higher or lower: a draw near none has one answer
+        above, below = u + NEAR, u - NEAR
+        most, least = np.zeros(len(at), dtype=np.uint8), np.zeros(len(at), dtype=np.uint8)
+        for limit in short.T:
+            most += limit <= above
+            least += limit <= below
+        column, close = most.astype(np.int64), most != least
+        beyond = np.flatnonzero(least == short.shape[1])  # few characters begin many pieces
+        if len(beyond):
+            long = ladder[at[beyond]]
+            column[beyond] = (long > above[beyond, None]).argmax(axis=1)
+            close[beyond] = column[beyond] != (long > below[beyond, None]).argmax(axis=1)
+        close = np.flatnonzero(close)
         if len(close):
             column[close] = (lattice.exact(at[close]) > _uniform(key[close])[:, None]).argmax(axis=1)
         moves.append((alive, at, column))
-        at = at + lattice.size[at, column]
+        at = at + sizes.take(at * width + column)
         on = at < end[alive]
         counts[alive] = turn + 1
         turn += 1
@@ -314,7 +335,7 @@ def search(lattice: Lattice, keys: np.ndarray, k: int) -> dict[str, np.ndarray]:
         own = mix(keys[text] + np.uint64(rank + 1))
         chars, picks, units, first = walk(lattice, own, popped["unit"], popped["place"], last[text])
         count = np.diff(first)
-        chance = lattice.chance[chars, picks].astype(np.float64)
+        chance = lattice.chance.take(chars * lattice.chance.shape[1] + picks).astype(np.float64)
         run = np.concatenate([[0.0], np.cumsum(chance)])
         before = run[:-1] + np.repeat(popped["logp"] - run[first[:-1]], count)
         done.append((text, np.full(len(text), rank), popped["value"], popped["logp"] + run[first[1:]] - run[first[:-1]]))
@@ -366,7 +387,7 @@ def _queued(lattice, keys, text, value, chars, picks, units, before, first, head
         # log p falls along a path: a few more nodes of each that isn't known to be too low
         node = _ranges(first[:-1] + looked, step)
         owner = np.repeat(np.arange(len(text)), step)
-        real = lattice.size[chars[node]] > 0
+        real = lattice.size.take(chars[node], axis=0) > 0
         real[np.arange(len(node)), picks[node]] = False
         r, column = np.nonzero(real)
         node, owner = node[r], owner[r]
@@ -400,7 +421,7 @@ def _cut(queue: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
 
 def spelled(lattice: Lattice, node: np.ndarray, column: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids for nodes and columns; characters without a piece become their bytes."""
-    pieces = lattice.piece[node, column].astype(np.int64)
+    pieces = lattice.piece.take(node * lattice.piece.shape[1] + column).astype(np.int64)
     bare = np.flatnonzero(pieces < 0)
     if not len(bare):
         return pieces, begin
