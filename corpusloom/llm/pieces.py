@@ -453,14 +453,18 @@ def row_keys(ids: list, seed: int = SEED) -> np.ndarray:
     return mix(mix(x + np.uint64(seed)) ^ np.where(null, np.uint64(0xABCDEF), np.uint64(0)))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], proto: bytes, k: int, seed: int, step: int = STEP_BYTES):
+def _encoded(batches: Iterator[pa.RecordBatch], proto: bytes, k: int, seed: int, step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """What `encode` returns, a step at a time, with the text of each sample."""
     vocab = vocabulary(proto)
     for batch in batches:
         for part in slices(batch, "text", step):
             part = part.filter(part.column("text").is_valid())
             texts, ids = part.column("text").to_pylist(), part.column("doc_id")
             if texts:
-                yield vocab, texts, ids, sample_texts(texts, row_keys(ids.to_pylist(), seed), vocab, k)
+                got = sample_texts(texts, row_keys(ids.to_pylist(), seed), vocab, k)
+                pieces = pa.ListArray.from_arrays(pa.array(got["begin"].astype(np.int32)), pa.array(got["pieces"].astype(np.int32)))
+                out = pa.RecordBatch.from_arrays([*_common(ids, got), pieces], ["doc_id", "sample", "n_pieces", "log_p", "perturbed", "inclusion", "pieces"])
+                yield out, [texts[i] for i in got["text"].tolist()]
 
 
 def _common(ids: pa.Array, got: dict[str, np.ndarray]) -> list[pa.Array]:
@@ -479,9 +483,8 @@ def encode(df: DataFrame, proto: bytes, k: int = SAMPLES, seed: int = SEED, step
     """Up to k distinct segmentations of each row of (doc_id, text), as piece ids. step: bytes of text searched at once, for less memory or less time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, got in _batches(batches, proto, k, seed, step):
-            pieces = pa.ListArray.from_arrays(pa.array(got["begin"].astype(np.int32)), pa.array(got["pieces"].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*_common(ids, got), pieces], ["doc_id", "sample", "n_pieces", "log_p", "perturbed", "inclusion", "pieces"])
+        for out, _ in _encoded(batches, proto, k, seed, step):
+            yield out
 
     return _docs(df).mapInArrow(run, f"{_COMMON}, pieces array<int>")
 
@@ -500,20 +503,22 @@ def decode(df: DataFrame, proto: bytes) -> DataFrame:
 
 
 def digest(df: DataFrame, proto: bytes, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """As `encode`, with a hash of the piece ids in their order, and whether they decode to the text, in their stead."""
+    """As `encode`, with a hash of the piece ids in their order, and whether they decode to the text, in their stead.
+
+    Both are taken from what `encode` returns, each sample decoded to its text as by `decode`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for vocab, texts, ids, got in _batches(batches, proto, k, seed):
-            begin, pieces, text = got["begin"], got["pieces"], got["text"]
+        vocab = vocabulary(proto)
+        for out, texts in _encoded(batches, proto, k, seed):
+            column = out.column("pieces")
+            begin, pieces = column.offsets.to_numpy(), column.values.to_numpy()
             place = np.arange(len(pieces)) - np.repeat(begin[:-1], np.diff(begin))
             total = np.zeros(len(pieces) + 1, dtype=np.uint64)
             np.cumsum(mix((pieces.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE) + place.astype(np.uint64)), out=total[1:])
             hashes = (total[begin[1:]] - total[begin[:-1]]).view(np.int64)
-            made = vocab.decode_all(pieces)
-            ends = np.concatenate([[0], np.cumsum(vocab.size[pieces])])[begin]
-            want = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
-            same = [made[a:b].tobytes() == want[t] for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), text.tolist())]
-            yield pa.RecordBatch.from_arrays([*_common(ids, got), pa.array(hashes), pa.array(same, pa.bool_())], ["doc_id", "sample", "n_pieces", "log_p", "perturbed", "inclusion", "pieces_hash", "round_trip"])
+            same = [vocab.decode(pieces[a:b]) == t for a, b, t in zip(begin[:-1].tolist(), begin[1:].tolist(), texts)]
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(hashes), pa.array(same, pa.bool_())], [*out.schema.names[:-1], "pieces_hash", "round_trip"])
 
     return _docs(df).mapInArrow(run, f"{_COMMON}, pieces_hash long, round_trip boolean")
 

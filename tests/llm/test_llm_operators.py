@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,22 @@ def test_digest_by_brute_force(spark, sf):
     assert Counter(map(tuple, pieces.digest(docs, proto).collect())) == want and want
 
 
+def test_the_query_encodes_and_decodes_by_its_operator(monkeypatch):
+    """In this process: every sample of a batch is what encode returns, and is decoded to its text."""
+    proto, ran, decoded = pieces.load(), [], []
+    texts = ["a tale of two", "", None, "▁mark", "é😀  x", " a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(pieces, "_docs", lambda df: df)
+    df = SimpleNamespace(mapInArrow=lambda run, schema: ran.append(run))
+    pieces.encode(df, proto), pieces.digest(df, proto)
+    encoded = [p for out in ran[0](iter([batch])) for p in out.column("pieces").to_pylist()]
+    decode = pieces.Vocabulary.decode
+    monkeypatch.setattr(pieces.Vocabulary, "decode", lambda self, ids: decoded.append([int(i) for i in ids]) or decode(self, ids))
+    got = [r for out in ran[1](iter([batch])) for r in out.to_pylist()]
+    assert decoded == encoded and len(got) == len(encoded) > 8
+    assert all(r["round_trip"] == (r["doc_id"] != 3) for r in got)
+
+
 def test_segmentations_and_the_library(spark, sf):
     import sentencepiece
 
