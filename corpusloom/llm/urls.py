@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 #: Stated rules: verdict, and host with path.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 #: Least share of the labelled pages that hold a rule's tokens and are bad. It bounds the tokens that FP-growth ranks on
 #: the driver: at most (tokens of a page / share). A bad group must have that share of the labelled pages to be found.
