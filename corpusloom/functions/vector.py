@@ -20,8 +20,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.nullif(n, F.lit(0.0)))
+    """Null elements where a vector is zero."""
+    # the norm is taken once, not for each element
+    return F.element_at(F.transform(F.array(F.nullif(norm(a), F.lit(0.0))), lambda n: F.transform(a, lambda x: x.cast("double") / n)), 1)
 
 
 def max_sim(query: Column, page: Column) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from ..functions import text, vector
 from ..sources.corpus import COLLECTION, GLOBAL
 
-#: Points and queries that one task compares, and queries whose products with all points of a task are held at once.
-POINT_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 4_096, 256
+#: Points and queries that one task compares, queries whose products with all points of a task are held at once, and pairs whose exact products are.
+POINT_ROWS, QUERY_ROWS, AT_ONCE, PAIRS = 16_384, 4_096, 256, 65_536
 KINDS = ("doc", "notes", "session")
 
 
@@ -33,11 +33,56 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float)
 
 
+def _leading(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: list[np.ndarray], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of x and cosines of the k best for each row of q, ties to smaller ids; own: rows of x that are none for it.
+
+    Products in single precision leave all that can be among the k best, by the bound on their error; of these they are
+    taken anew in double precision, each by itself, so that equal vectors tie.
+    """
+    m, d = x.shape
+    n = min(k, m)
+    size = max(1, min(64, m // (4 * n)))
+    groups = -(-m // size)
+    y = np.zeros((groups * size, d), dtype=np.float32)
+    y[:m] = x
+    margin = np.float32(4 * (d + 8) * 2.0**-24)
+    finite = np.isfinite(x).all() and np.isfinite(q).all()
+    out = []
+    for i in range(0, len(q), AT_ONCE):
+        s = q[i : i + AT_ONCE].astype(np.float32) @ y.T
+        s[:, m:] = -np.inf
+        if not finite:
+            s[~np.isfinite(s)] = -np.inf
+        for r, at in enumerate(own[i : i + AT_ONCE]):
+            s[r, at] = -np.inf
+        # n groups have a product of this bound or more, so the n-th best has
+        bound = np.partition(s.reshape(len(s), size, groups).max(axis=1), -n, axis=1)[:, -n]
+        r, c = np.nonzero(s >= (bound - margin)[:, None])
+        there = s[r, c] > -np.inf
+        r, c = r[there], c[there]
+        exact = np.concatenate([np.einsum("ij,ij->i", q[i + r[j : j + PAIRS]], x[c[j : j + PAIRS]]) for j in range(0, max(1, len(r)), PAIRS)])
+        r, c, exact = r[exact >= least], c[exact >= least], exact[exact >= least]
+        order = np.lexsort((ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((i + r[first], c[first], exact[first]))
+    return tuple(np.concatenate(a) for a in zip(*out))
+
+
+def _same(ids: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """For each of own the places where ids has it; none for nulls."""
+    codes = pd.factorize(np.concatenate([ids.astype(object), own.astype(object)]))[0]
+    have, want = codes[: len(ids)], codes[len(ids) :]
+    order = np.argsort(have, kind="stable")
+    ends = zip(want, np.searchsorted(have[order], want), np.searchsorted(have[order], want, "right"))
+    return [order[a:b] if code >= 0 else order[:0] for code, a, b in ends]
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, *, key: str = "id", least: float | None = None) -> DataFrame:
     """The k best points (id, vector) of each query (query_id, query), by cosine, ties to smaller ids; never the query itself.
 
     Both sides are dealt into blocks by their number of rows; each block of queries meets each block of points once, as a
-    matrix product, and only the k best of it are shuffled on. Zero vectors and vectors of other lengths have no cosine.
+    matrix product, and only the k best of it are shuffled on. Exact, so the work is the product of both numbers of rows. Zero vectors and vectors of other lengths have no cosine.
     """
     vectors = lambda df, c: df.withColumn("_v", vector.normalised(F.col(c))).filter("_v[0] IS NOT NULL").withColumn("_d", F.size("_v"))
     p = vectors(points, "vector").drop("vector")
@@ -50,17 +95,9 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, *, key: str = "id", l
     def best(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(rows):
             return pd.DataFrame(columns=schema.names)
-        ids, x, out = rows[key].to_numpy(), _matrix(rows["_v"]), []
-        for i in range(0, len(some), AT_ONCE):
-            part = some.iloc[i : i + AT_ONCE]
-            for own, s in zip(part["query_id"].to_numpy(), _matrix(part["_v"]) @ x.T):
-                s = np.where(ids == own, -np.inf, s)
-                n = min(k, len(s))
-                at = np.flatnonzero(s >= np.partition(s, -n)[-n])  # with all that tie at the end
-                at = at[s[at] > (-np.inf if least is None else np.nextafter(least, -np.inf))]
-                at = at[np.lexsort((ids[at], -s[at]))[:k]]
-                out.append(rows.iloc[at][names].assign(query_id=own, score=s[at]))
-        return pd.concat(out)
+        ids, own = rows[key].to_numpy(), some["query_id"].to_numpy()
+        r, c, score = _leading(_matrix(some["_v"]), _matrix(rows["_v"]), ids, _same(ids, own), k, -np.inf if least is None else least)
+        return rows.iloc[c][names].assign(query_id=own[r], score=score)
 
     keys = ["_d", "_bp", "_bq"]
     found = q.withColumn("_bp", _every(np_)).groupBy(*keys).cogroup(p.withColumn("_bq", _every(nq)).groupBy(*keys)).applyInPandas(best, schema)

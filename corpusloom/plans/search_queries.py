@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..operators import graph, search
+from ..session import checkpoint
 from .registry import Tables, query
 
 COS = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
@@ -117,8 +118,11 @@ WITH e AS ({EVERY_EDGE}), h AS ({PER_QUERY}), s AS (SELECT query_id, id AS doc,
 r AS (SELECT s.query_id, e.dst AS doc, s.o * 100 + e.pos AS o, s.doc AS via FROM s JOIN e ON e.src = s.doc)
 SELECT query_id, doc, 1 AS hop, arg_min(via, o) AS via FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = r.query_id AND s.doc = r.doc) GROUP BY 1, 2""")
 def search_with_hops(t: Tables) -> DataFrame:
+    """One hop goes along the edges of hits only, so the related documents of other points are not looked for."""
+    found = checkpoint(search.nearest(points(t), queries(t), 3))
+    hits = found.select(F.col("id").alias("query_id")).distinct()
     every = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return graph.search_with_hops(search.nearest(points(t), queries(t), 3), related(t, every), 1)
+    return graph.search_with_hops(found, related(t, every.join(hits, "query_id", "left_semi")), 1)
 
 
 @query(f"SELECT dst, list_sort(list_distinct(list(src))) AS sources FROM ({EDGES}) GROUP BY 1")

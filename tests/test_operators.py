@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from pathlib import PurePosixPath
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,6 +214,40 @@ def test_many_queries_meet_by_blocks(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in search.near_duplicates(p, 0.5).collect()) == pairs
 
 
+def test_hops_look_for_the_edges_of_hits_only(spark, sf, monkeypatch):
+    from corpusloom import plans
+
+    asked, nearest = [], search.nearest
+    monkeypatch.setattr(search, "nearest", lambda points, queries, *a, **b: asked.append(queries.count()) or nearest(points, queries, *a, **b))
+    plans.queries()["search_with_hops"](spark, sf).collect()
+    assert asked[0] == 10 and asked[1] <= 30  # of 500 vectors
+
+
+def test_leading_rows_equal_sorting(monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 7)
+    rnd = np.random.default_rng(5)
+    for m, k in ((1, 3), (5, 3), (700, 4), (3000, 4)):
+        x = rnd.normal(size=(m, 16))
+        x[m // 2 :] = x[: m - m // 2] + rnd.choice([0.0, 1e-9, 1e-7], size=(m - m // 2, 1))  # closer than single precision tells
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids = rnd.permutation(m) % max(1, m - 3)  # some twice
+        q, own = x[:40], ids[:40]
+        cos = (q[:, None, :] * x[None, :, :]).sum(axis=2)
+        for least in (-np.inf, 0.5):
+            r, c, score = search._leading(q, x, ids, search._same(ids, own), k, least)
+            for i in range(len(q)):
+                mine = score[r == i]
+                want = np.sort(cos[i][(ids != own[i]) & (cos[i] >= least)])[::-1][:k]
+                assert np.allclose(mine, want, rtol=0, atol=1e-15) and not (ids[c[r == i]] == own[i]).any()
+
+
+def test_equal_vectors_tie_by_id(spark):
+    v = [math.sin(i + 1) for i in range(65)]
+    p = spark.createDataFrame([(i, v) for i in range(300)], "id long, vector array<double>")
+    got = search.nearest(p, p.filter("id < 3").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 4)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == [(q, n, i) for q in range(3) for n, i in enumerate([i for i in range(5) if i != q][:4], 1)]
+
+
 def test_recall(spark):
     points = [(1, [1.0, 0.0], "a_doc", "docs/x.md", "x", "one"), (2, [0.7, 0.7], "b_doc", "", "y", "two"), (3, [0.0, 1.0], "a_notes", None, "z", "three")]
     p = spark.createDataFrame(points, "id long, vector array<double>, collection string, file_path string, slug string, text string")
