@@ -31,6 +31,10 @@ GLOBAL = "loom_global"
 #: Fixed pattern of collection names.
 COLLECTION = rf"(?U)^((\w+)_(doc|notes|session|visual)|{GLOBAL}_(doc|notes|session|visual))$"
 
+#: Stored points, and files or metadata (of which each has several points), that one task sorts or hashes.
+POINT_ROWS, FILE_ROWS = 1_000_000, 300_000
+
+
 
 def relative(path: Column, root: str) -> Column:
     plain = F.regexp_replace(path, r"^[a-z][a-z0-9+.-]*:/*(?=/)", "")
@@ -160,10 +164,21 @@ def registry(sidecar: DataFrame, source: DataFrame, excluded: Iterable[str] = ()
     return ok.join(there, F.col("current_path") == F.col("file_path"), "left")
 
 
+def parts_of(rows: int, *tables: DataFrame) -> int:
+    """How many parts of about so many rows the largest of the tables makes."""
+    return max(1, *(-(-t.count() // rows) for t in tables))
+
+
+def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df by a key in so many parts. What one task sorts or hashes then goes by rows, however well they compress; one part is left to AQE."""
+    return df.repartition(parts, key) if parts > 1 else df
+
+
 def chunk_index(points: DataFrame) -> DataFrame:
     """Stored points by sidecar_id: ids in order, count, first text and kind, file path. Points without one are skipped."""
     first = lambda c: F.min_by(c, F.struct("chunk_index", "point_id"))
-    return points.filter(F.coalesce("sidecar_id", F.lit("")) != "").groupBy("sidecar_id").agg(
+    points = points.filter(F.coalesce("sidecar_id", F.lit("")) != "")
+    return dealt(points, "sidecar_id", parts_of(POINT_ROWS, points)).groupBy("sidecar_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "point_id"))), lambda s: s["point_id"]).alias("chunk_ids"),
         F.count(F.lit(1)).alias("chunk_count"), first("text").alias("first_text"), first("doc_type").alias("doc_type"), first("file_path").alias("file_path"),
     )

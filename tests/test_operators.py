@@ -525,3 +525,16 @@ def test_steps_lose_no_rows(spark, monkeypatch):
         got = chunking.by_document(given, fold, "n int, word string, none string", key="key")
         want = [(k, n, w, None) for k, t in words if t for n, w in enumerate(t.split())] if given is df else []
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_audit_deals_by_rows(spark, sf, monkeypatch):
+    """Parts go by rows, however few bytes they have, and the detectors find the same."""
+    from corpusloom.plans import queries, state_queries
+    from corpusloom.plans.registry import Tables
+
+    t, want = Tables(spark, sf), sorted(map(tuple, queries()["audit_by_category"](spark, sf).collect()))
+    monkeypatch.setattr(corpus, "POINT_ROWS", 500)
+    monkeypatch.setattr(corpus, "FILE_ROWS", 100)
+    assert audit.hash_mismatches(state_queries.registry(t), state_queries.files(t)).rdd.getNumPartitions() >= 14
+    assert state_queries.index(t).rdd.getNumPartitions() >= 11
+    assert sorted(map(tuple, queries()["audit_by_category"](spark, sf).collect())) == want
